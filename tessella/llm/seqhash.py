@@ -58,8 +58,8 @@ BYTE_SYMBOLS = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 _bytes, _grams, _context = Poly(0x5851F42D4C957F2D), Poly(0xA0761D6478BD642F), Poly(0xE7037ED1A0B428DB)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start byte, end byte, hash) of every word of the texts, and how many words end before each text."""
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start byte, end byte, hash) of every word of the texts (runs outside `blank`), and the number of words before each text."""
     out_s, out_e, out_h = [], [], []
     base, end = int(offsets[0]), int(offsets[-1])
     edge = np.zeros(end - base + 1, bool)
@@ -67,11 +67,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = base
     while at < end:
         to = min(end, at + PIECE)
-        while to < end and not edge[to - base] and not SPACES[data[to]]:  # never through a word
-            nxt = np.flatnonzero(SPACES[data[to : min(to + PIECE, end)]] | edge[to - base : min(to + PIECE, end) - base])
+        while to < end and not edge[to - base] and not blank[data[to]]:  # never through a word
+            nxt = np.flatnonzero(blank[data[to : min(to + PIECE, end)]] | edge[to - base : min(to + PIECE, end) - base])
             to = to + int(nxt[0]) if len(nxt) else min(end, to + PIECE)
         part = data[at:to]
-        ink = ~SPACES[part]
+        ink = ~blank[part]
         cut = edge[at - base : to - base]
         before = np.empty(len(part), bool)
         before[0], before[1:] = False, ink[:-1]
