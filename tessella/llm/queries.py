@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from . import simhash, substring_dedup, suffix_dedup
+import corpus_pipeline
+
+from . import ann, decontaminate, packing, pii, quality, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
+    "op2_approximate_nearest_neighbours": ann.query,
+    "op3_secret_scans": secret_scan.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_suffix_array_dedup": suffix_dedup.query,
+    "op7_benchmark_decontamination": decontaminate.query,
+    "op8_packing": packing.query,
+    "op9_toxicity": toxicity.query,
+    "op10_pii": pii.query,
+    "pipeline": corpus_pipeline.run,
 }
+#: Models, XXH64, SHA-256 over spans and tokenizers are beyond the SQL of the oracle; tests use brute force instead.
 ORACLES: dict[str, str] = {}
