@@ -131,9 +131,38 @@ def extend(docs: DataFrame, kept: DataFrame, unit: str, width: int) -> DataFrame
     return joined.select("doc_id", "text", "a_list", "at_list").mapInArrow(windows, "a long, c long, doc_id long, at long")
 
 
+def contexts(docs: DataFrame, kept: DataFrame, width: int) -> DataFrame:
+    """(a, doc_id, at, bytes): the bytes of each context in `kept`, from its first window to the end of its last."""
+    schema = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
+
+    def rows(batches):
+        for batch in batches:
+            ids = longs(batch.column("doc_id"))
+            offsets, data = buffers(batch.column("text"))
+            a_list, at_list = batch.column("a_list"), batch.column("at_list")
+            bounds = a_list.offsets.to_numpy() - a_list.offsets[0].as_py()
+            a, at = longs(a_list.flatten()), longs(at_list.flatten())
+            view = memoryview(data)
+            for i, j in slices(offsets, 1 << 20):
+                own = slice(bounds[i], bounds[j])
+                n = np.diff(bounds[i : j + 1])
+                start = np.repeat(offsets[i:j], n) + (at[own] >> 24)
+                end = start + (at[own] & 0xFF) + width
+                yield batch_of(schema, a[own], np.repeat(ids[i:j], n), at[own], [bytes(view[s:e]) for s, e in zip(start, end, strict=True)])
+
+    texts = docs.filter("doc_id is not null").selectExpr("doc_id", "coalesce(text, '') as text", CHECK)
+    joined = texts.join(by_text(kept, "a", "at"), ["doc_id", "check"])
+    return joined.select("doc_id", "text", "a_list", "at_list").mapInArrow(rows, "a long, doc_id long, at long, bytes binary")
+
+
+def anchored(docs: DataFrame, unit: str, width: int, gram: int, within: bool) -> DataFrame:
+    """Anchors of the corpus after `compare`, written: whole contexts that repeat, and those that must be extended."""
+    return stage(compare(anchor_rows(docs, unit, width, gram), within), f"anchors-{unit}")
+
+
 def repeated(docs: DataFrame, unit: str, width: int, gram: int, within: bool) -> DataFrame:
-    """(doc_id, at) of runs of windows that repeat an earlier one."""
-    found = stage(compare(anchor_rows(docs, unit, width, gram), within), f"anchors-{unit}")
+    """(doc_id, at) of runs of windows that repeat an earlier one, by seed and extend."""
+    found = anchored(docs, unit, width, gram, within)
     more = compare(extend(docs, found.filter("not same"), unit, width), within)
     return found.filter("same").select("doc_id", "at").unionByName(more.filter("same").select("doc_id", "at"))
 
