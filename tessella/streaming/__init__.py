@@ -1,0 +1 @@
+"""The matrix model is a batch model: it has no streams, watermarks or state, so nothing is defined here."""
