@@ -62,15 +62,15 @@ def owned_costs(s: Session, d: str) -> Matrix:
     return s.from_numpy(1.0 + np.arange(n, dtype=float)[None] % 7)
 
 
-def described(df: DataFrame, value: str = "x") -> DataFrame:
+def described(df: DataFrame, value: str = "x", digits: int = 4) -> DataFrame:
     """The value as a rounded finite number and a kind, so that engines agree on how non-finite ones are written."""
     v = F.col(value)
     kind = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").otherwise("number")
-    return df.withColumn("kind", kind).withColumn(value, F.when(F.col("kind") == "number", F.round(v, 4) + 0.0).otherwise(0.0))
+    return df.withColumn("kind", kind).withColumn(value, F.when(F.col("kind") == "number", F.round(v, digits) + 0.0).otherwise(0.0))
 
 
-def _described(sql: str, value: str = "x") -> str:
-    return f"""SELECT * REPLACE (CASE WHEN isfinite({value}) THEN round({value}, 4) + 0.0 ELSE 0.0 END AS {value}),
+def _described(sql: str, value: str = "x", digits: int = 4) -> str:
+    return f"""SELECT * REPLACE (CASE WHEN isfinite({value}) THEN round({value}, {digits}) + 0.0 ELSE 0.0 END AS {value}),
       CASE WHEN isnan({value}) THEN 'nan' WHEN {value} = 'inf'::DOUBLE THEN 'inf' WHEN {value} = '-inf'::DOUBLE THEN '-inf' ELSE 'number' END AS kind FROM ({sql})"""
 
 
@@ -102,6 +102,10 @@ _BINARY_SQL = {
 }
 
 
+#: A quotient of cents by a count has ties at few digits.
+_DIGITS = {"true_divide": 10}
+
+
 def _binary(spark, d, op):
     s = Session(spark)
     a, b = activity(s, d), activity(s, d, "n")
@@ -110,7 +114,7 @@ def _binary(spark, d, op):
     else:
         out = a._binary(op, b)
     df = out.to_frame() if out.storage == "dense" else _dense(out)
-    return described(df)
+    return described(df, digits=_DIGITS.get(op, 4))
 
 
 def _dense(m: Matrix) -> DataFrame:
@@ -120,7 +124,7 @@ def _dense(m: Matrix) -> DataFrame:
 
 
 for _op, _sql in _BINARY_SQL.items():
-    _query(f"binary_{_op}", _described(f"SELECT i, j, ({_sql})::DOUBLE AS x FROM ({_GRID})"))(lambda spark, d, op=_op: _binary(spark, d, op))
+    _query(f"binary_{_op}", _described(f"SELECT i, j, ({_sql})::DOUBLE AS x FROM ({_GRID})", digits=_DIGITS.get(_op, 4)))(lambda spark, d, op=_op: _binary(spark, d, op))
 
 
 def _with_nan(s: Session, d: str) -> Matrix:
