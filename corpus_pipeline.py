@@ -16,15 +16,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under TOXIC by a model of the labelled documents that the held-out rule leaves."""
     source = table(spark, sf_dir, "documents")
     model = toxicity.train(source, table(spark, sf_dir, "labels"), "toxic", F.pmod(crc32_text(F.col("doc_id")), F.lit(4)) != 2)
-    return toxicity.score(docs, model, *docs.columns).filter(F.col("score") < TOXIC).select(*docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, model, *docs.columns, name=name).filter(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, fingerprints linked at 3 bits) the document with the smallest id.
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id.
 
     Rows with a null doc_id stay.
     """
-    groups = simhash.near_duplicates(docs.filter("doc_id is not null"), words=5)
+    groups = simhash.similar_documents(docs)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

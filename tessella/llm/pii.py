@@ -56,7 +56,11 @@ def _phone(text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """`docs` with `_email`, `_ip`, `_card`, `_phone` and `base`, all of them by kind, then start. A null text is empty."""
+    """`docs` with `_email`, `_ip`, `_card`, `_phone` and `base`, all of them by kind, then start. A null text is empty.
+
+    Columns of `docs` with these names or those of the candidates are replaced.
+    """
+    docs = docs.drop("base", "found", "_open", "_candidates", *(f"_{k}" for k in KINDS))
     raw = F.coalesce(F.col("text"), F.lit(""))
     text = F.translate(S.plain(raw), "\x04", "\x03")
     when = lambda has, spans: F.when(has, spans).otherwise(S.none())

@@ -56,7 +56,7 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     blocks = [s[k : k + BLOCK] for s in samples for k in range(0, len(s), BLOCK)]
     try:
         return zstandard.train_dictionary(size, blocks).as_bytes()
-    except zstandard.ZstdError:  # too few samples for a trained one: raw content
+    except (zstandard.ZstdError, ValueError):  # too few samples for a trained one: raw content
         return b"".join(blocks)[-size:] or b" " * 16
 
 

@@ -57,8 +57,10 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = 10.0) -> DataF
     """All columns of `docs` with `base` and `found`: arrays of (start, rank, end, kind), found holding base and model spans.
 
     A run is a model span ("markov") if its log-likelihood ratio reaches `threshold`, it holds a digit and a letter, and it
-    overlaps no base span. Both are sorted by start, then kind. A null text is empty.
+    overlaps no base span. Both are sorted by start, then kind. A null text is empty. Columns of `docs` with the names of
+    these results or with an underscored kind are replaced.
     """
+    docs = docs.drop("base", "found", "_assign", "_access", "_hex", "_token")
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     raw = F.coalesce(F.col("text"), F.lit(""))
     when = lambda has, spans: F.when(has, spans).otherwise(S.none())
@@ -81,8 +83,7 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = 10.0) -> DataF
 
 def redact(docs: DataFrame, ratios: list[float], mask: str = "[SECRET]", threshold: float = 10.0) -> DataFrame:
     """`docs` with every span of its texts replaced by `mask`; overlapping spans are replaced together. Null stays null."""
-    names = docs.columns
-    out = scan(docs, ratios, threshold)
+    out = scan(docs.select("text", F.struct("*").alias("row")), ratios, threshold)
     cut = F.aggregate(
         F.col("found"),
         F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
@@ -92,7 +93,7 @@ def redact(docs: DataFrame, ratios: list[float], mask: str = "[SECRET]", thresho
         ),
         lambda s: F.concat(s["done"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
     )
-    return out.withColumn("text", F.when(F.size("found") > 0, cut).otherwise(F.col("text"))).select(*names)
+    return out.withColumn("text", F.when(F.size("found") > 0, cut).otherwise(F.col("text"))).select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, documents, groups, longs, stage
 from .components import components
+from .seqhash import mix
 
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -17,17 +18,16 @@ PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LARGE = 2048
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Bit b is 1 if it is set in over half of the XXH64 hashes (seed 42) of the text's word shingles; unsigned."""
-    w = (text or "").encode().lower().split()
-    if not w:
-        return 0
+def shingle_hashes(w: list[bytes], words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of `words` words, of the whole sequence if it is shorter; none of no words."""
     h = xxhash.xxh64_intdigest
     if len(w) < words:
-        found = [h(b" ".join(w), 42)]
-    else:
-        found = [h(b" ".join(s), 42) for s in zip(*(w[k:] for k in range(words)), strict=False)]
-    hashes = np.array(found, np.uint64)
+        return np.array([h(b" ".join(w), 42)] if w else [], np.uint64)
+    return np.array([h(b" ".join(s), 42) for s in zip(*(w[k:] for k in range(words)), strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half of the hashes; unsigned, zero of none."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         part = hashes[k : k + (1 << 15)]
@@ -35,6 +35,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The SimHash of the text's word shingles in lower case (A-Z); zero for a blank text."""
+    return majority(shingle_hashes((text or "").encode().lower().split(), words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) for every row; fp holds the 64 bits as a signed long. A null or blank text has 0."""
 
@@ -47,23 +52,22 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def _forest(prints: np.ndarray, bits: int, at: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of places in `at` that connect whatever pairs at `bits` differing bits or fewer connect."""
-    if len(at) > LARGE:  # within `bits` <= 3, one of two parts of a half differs by one bit at most: cut again
-        out = []
-        for half in (0, 32):
-            for part in (half, half + 16):
-                for free in (0, *(1 << k for k in range(16))):
-                    v = (prints[at] >> np.uint64(part)).astype(np.int64) & 0xFFFF & ~free
-                    order = np.argsort(v, kind="stable")
-                    cuts = np.flatnonzero(np.append(True, np.diff(v[order]) != 0))
-                    if len(cuts) == 1:
-                        continue
-                    for a, b in zip(cuts, np.append(cuts[1:], len(v)), strict=True):
-                        if b - a > 1:
-                            out += _search(prints, bits, at[order[a:b]])
-        same = [len(np.unique((prints[at] >> np.uint64(p)) & np.uint64(0xFFFF))) == 1 for p in (0, 16, 32, 48)]
-        return out + _search(prints, bits, at) if any(same) and not out else out
-    return _search(prints, bits, at)
+    """Pairs of places in `at` that connect whatever pairs at `bits` differing bits or fewer connect.
+
+    A long run is cut again: with bits + 1 parts of the fingerprint, one part is equal in any such pair.
+    """
+    if len(at) <= LARGE:
+        return _search(prints, bits, at)
+    out = []
+    bounds = [64 * k // (bits + 1) for k in range(bits + 2)]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        v = (prints[at] >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+        order = np.argsort(v, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(v[order]) != 0))
+        for a, b in zip(cuts, np.append(cuts[1:], len(v)), strict=True):
+            if b - a > 1:
+                out += _search(prints, bits, at[order[a:b]])
+    return out
 
 
 def _search(prints: np.ndarray, bits: int, at: np.ndarray) -> list[tuple[int, int]]:
@@ -81,38 +85,53 @@ def _search(prints: np.ndarray, bits: int, at: np.ndarray) -> list[tuple[int, in
     return out
 
 
-def links(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """(u, v) of documents whose fingerprints connect: every two fingerprints at 3 bits or fewer are in one component.
+def _small_runs(fp: np.ndarray, starts: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places within runs of one small size that differ by `bits` or fewer bits."""
+    x, y = np.triu_indices(size, 1)
+    a, b = (starts[:, None] + x).ravel(), (starts[:, None] + y).ravel()
+    near = np.bitwise_count(fp[a] ^ fp[b]) <= bits
+    return a[near], b[near]
 
-    prints: fp, rep (a document of it), one row for each fingerprint. Each half of a fingerprint is indexed whole and with each
-    of its bits left out, as one of the halves differs by one bit at most. Entries that are equal are verified, and of each
-    run of equal entries only what connects it is returned, so a run of m gives less than m rows for each key.
+
+def links(prints: DataFrame, bits: int = 3, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(u, v) of documents whose fingerprints connect: every two fingerprints at `bits` bits or fewer are in one component.
+
+    prints: rep (a document) and one fingerprint or more, one row for each combination; any of them may link. A fingerprint is
+    cut into (bits + 1) / 2 segments, rounded up, so that one of them differs by one bit at most. It is indexed by each segment
+    whole and with each of its bits left out. Entries that are equal are verified, and of each long run of equal entries only
+    what connects it is returned, so that the rows stay below the entries.
     """
-    if bits > 3:
-        raise ValueError("two halves cover 3 differing bits at most")
-    keys = []
-    for half in (0, 1):
-        value = F.shiftrightunsigned("fp", 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-        for k in range(33):
-            free = 1 << (k - 1) if k else 0
-            keys.append(value.bitwiseAND(F.lit(0xFFFFFFFF & ~free)).bitwiseOR(F.lit((half * 33 + k) << 32)))
+    parts = bits // 2 + 1
+    bounds = [64 * k // parts for k in range(parts + 1)]
+    entries = []
+    for n, column in enumerate(columns):
+        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            full = (1 << (hi - lo)) - 1
+            value = F.shiftrightunsigned(column, lo).bitwiseAND(F.lit(full))
+            for free in range(-1, hi - lo):
+                kind = (n * parts + k) * 65 + free + 1
+                key = value.bitwiseAND(F.lit(full & ~(1 << free) if free >= 0 else full)).bitwiseOR(F.lit(kind << 32))
+                entries.append(F.struct(key.alias("key"), F.col(column).alias("fp")))
 
     def verify(batches):
         for batch, starts in groups(batches, ["key"]):
             fp, rep = longs(batch.column("fp")).view(np.uint64), longs(batch.column("rep"))
             sizes = np.diff(np.append(starts, len(fp)))
-            two = starts[sizes == 2]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-            u, v = [rep[two]], [rep[two + 1]]
-            for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            u, v = [], []
+            for m in range(2, 9):
+                x, y = _small_runs(fp, starts[sizes == m], m, bits)
+                u.append(rep[x])
+                v.append(rep[y])
+            for s, n in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
                 if pairs := _forest(fp, bits, np.arange(s, s + n)):
                     x, y = np.array(pairs).T
                     u.append(rep[x])
                     v.append(rep[y])
-            yield batch_of(EDGES, np.concatenate(u), np.concatenate(v))
+            u, v = np.concatenate(u), np.concatenate(v)
+            yield batch_of(EDGES, np.maximum(u, v), np.minimum(u, v))
 
-    index = prints.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long").distinct()
+    index = prints.select("rep", F.explode(F.array(*entries)).alias("e")).select("e.key", "e.fp", "rep")
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long").filter("u <> v").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
@@ -130,5 +149,75 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     return prints.join(of, "fp", "left").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("sketch", pa.binary())])
+#: Smallest shingle hashes kept to compare two texts; texts of up to so many shingles are compared exactly.
+SKETCH = 256
+
+
+def _multiprints(docs: DataFrame, words: int, count: int) -> DataFrame:
+    """(doc_id, t1, t2, f0, ...) with a 128-bit key of the text's words and `count` independent fingerprints."""
+    schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), *((f"f{k}", pa.int64()) for k in range(count))])
+
+    def rows(batches):
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 2 + count), np.uint64)
+            for n, t in enumerate(batch.column("text")):
+                w = (t.as_py() or "").encode().lower().split()
+                key = xxhash.xxh3_128_intdigest(b" ".join(w))
+                hashes = shingle_hashes(w, words)
+                prints = [majority(mix(hashes * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64))) for k in range(count)]
+                out[n] = [key >> 64, key & (2**64 - 1), *prints]
+            yield batch_of(schema, batch.column("doc_id"), *out.view(np.int64).T)
+
+    return docs.select("doc_id", "text").mapInArrow(rows, ", ".join(f"{c} long" for c in schema.names))
+
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, sketch): the smallest SKETCH distinct shingle hashes (32 bits of each) of the text."""
+
+    def rows(batches):
+        for batch in batches:
+            out = [(np.unique(shingle_hashes((t.as_py() or "").encode().lower().split(), words) >> np.uint64(32))[:SKETCH]).astype(np.uint32).tobytes() for t in batch.column("text")]
+            yield batch_of(SKETCHES, batch.column("doc_id"), out)
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, sketch binary")
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity from two sketches: exact if the union's hashes are all kept, else over its smallest ones."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    union = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        union = union[:SKETCH]
+    if not len(union):
+        return 1.0
+    return len(np.intersect1d(np.intersect1d(x, y), union, assume_unique=True)) / len(union)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, narrow: int = 2, prints: int = 4, bits: int = 5) -> DataFrame:
+    """(doc_id, component_id) of documents linked by a Jaccard similarity of `similarity` or more of their `words`-word shingles.
+
+    Candidates are texts at `bits` or fewer differing bits in any of `prints` SimHash fingerprints over `narrow`-word shingles,
+    which change less than longer ones; each candidate is verified. Texts of equal words are linked as such. README has the
+    measured recall. Blank texts are equal; null ids take no part; repeated rows are one document.
+    """
+    names = tuple(f"f{k}" for k in range(prints))
+    made = stage(_multiprints(docs.filter("doc_id is not null"), narrow, prints), "prints")
+    texts = stage(made.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in names)), "texts")
+    edges = stage(links(texts, bits, names), "candidates")
+    asked = edges.select("u").union(edges.select("v")).distinct().toDF("doc_id")
+    sketches = stage(_sketches(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sketches")
+    both = edges.join(sketches.toDF("u", "a"), "u").join(sketches.toDF("v", "b"), "v").select("u", "v", "a", "b")
+
+    def verify(batches):
+        for batch in batches:
+            near = [resemblance(a, b) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(near, pa.bool_())).select(["u", "v"])
+
+    roots = components(both.mapInArrow(verify, "u long, v long"))
+    of = texts.join(roots, texts["rep"] == roots["node"], "left").select("t1", "t2", F.coalesce("root", "rep").alias("component_id"))
+    return made.select("doc_id", "t1", "t2").join(of, ["t1", "t2"]).select("doc_id", "component_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

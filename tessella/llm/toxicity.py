@@ -144,8 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int = 40
     return ToxicityModel(lexicon, trees, Isotonic().fit(trees.predict(x[use]), y[use], w[use]))
 
 
-def score(docs: DataFrame, model: ToxicityModel, *more: str) -> DataFrame:
-    """(doc_id, score) of every whole text; null is the empty text. `more` names columns to pass along."""
+def score(docs: DataFrame, model: ToxicityModel, *more: str, name: str = "score") -> DataFrame:
+    """(doc_id, score) of every whole text; null is the empty text. `more` names columns to pass along, `name` the score's."""
     names = list(dict.fromkeys(["doc_id", "text", *more]))
     kept = [n for n in names if n in ("doc_id", *more)]
 
@@ -154,10 +154,10 @@ def score(docs: DataFrame, model: ToxicityModel, *more: str) -> DataFrame:
             offsets, data = buffers(batch.column("text"))
             for i, j in slices(offsets):
                 values = model.score(features(data, offsets[i : j + 1], model.lexicon))
-                yield pa.RecordBatch.from_arrays([batch.column(n)[i:j] for n in kept] + [pa.array(values)], names=[*kept, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(n)[i:j] for n in kept] + [pa.array(values)], names=[*kept, name])
 
     schema = ", ".join(f"`{n}` {dict(docs.dtypes)[n]}" for n in kept)
-    return docs.select(*names).mapInArrow(rows, f"{schema}, score double")
+    return docs.select(*names).mapInArrow(rows, f"{schema}, `{name}` double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
