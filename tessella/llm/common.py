@@ -41,7 +41,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # what was shuffled for it is not needed once it is written
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -131,7 +131,7 @@ def links(prints: DataFrame, bits: int = 3, columns: tuple[str, ...] = ("fp",))
             yield batch_of(EDGES, np.maximum(u, v), np.minimum(u, v))
 
     index = prints.select("rep", F.explode(F.array(*entries)).alias("e")).select("e.key", "e.fp", "rep")
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long").filter("u <> v").distinct()
+    return index.repartition("key").sortWithinPartitions("key", "fp", "rep").mapInArrow(verify, "u long, v long").filter("u <> v").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
@@ -204,7 +204,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     names = tuple(f"f{k}" for k in range(prints))
     made = stage(_multiprints(docs.filter("doc_id is not null"), narrow, prints), "prints")
     texts = stage(made.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in names)), "texts")
-    edges = stage(links(texts, bits, names), "candidates")
+    # one fingerprint at a time, so that one index is on disk at a time
+    found = [stage(links(texts, bits, (c,)), "candidates") for c in names]
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    edges = stage(edges.distinct(), "candidates")
     asked = edges.select("u").union(edges.select("v")).distinct().toDF("doc_id")
     sketches = stage(_sketches(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sketches")
     both = edges.join(sketches.toDF("u", "a"), "u").join(sketches.toDF("v", "b"), "v").select("u", "v", "a", "b")
