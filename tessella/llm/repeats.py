@@ -34,10 +34,20 @@ def checks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(view[a:b]) & 0xFFFF for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
 
 
-def anchor_rows(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
-    """(a, c, doc_id, at) for every anchor of every text; null ids take no part."""
+#: Marks rows that their own task has settled already; such rows have a random `a`, so that they are dealt evenly.
+SETTLED = -(1 << 63)
+#: Anchors that a task sorts at once before it sends them.
+COMBINE = 1 << 17
+
+
+def anchor_rows(docs: DataFrame, unit: str, width: int, gram: int, within: bool) -> DataFrame:
+    """(a, c, doc_id, at) for every anchor of every text; null ids take no part.
+
+    Of equal contexts in one task's rows only the first is sent under its key, the rest are known to be later ones.
+    """
 
     def rows(batches):
+        held, size = np.empty((4, COMBINE), np.int64), 0  # one block, so that small arrays do not pin freed memory
         for batch in batches:
             ids = longs(batch.column("doc_id"))
             offsets, data = buffers(batch.column("text"))
@@ -46,11 +56,40 @@ def anchor_rows(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
                 check = checks(data, part)
                 symbols, bounds = symbols_of(data, part, unit)
                 for text, first, more, a, c in seqhash.anchors(symbols, bounds, width, gram):
-                    yield batch_of(ANCHORS, a.view(np.int64), c.view(np.int64), ids[i:j][text], first << 24 | check[text] << 8 | more)
+                    if size and size + len(a) > held.shape[1]:
+                        yield combined(held[:, :size])
+                        size = 0
+                    if len(a) > held.shape[1]:
+                        held = np.empty((4, len(a)), np.int64)
+                    held[:, size : size + len(a)] = a.view(np.int64), c.view(np.int64), ids[i:j][text], first << 24 | check[text] << 8 | more
+                    size += len(a)
+        if size:
+            yield combined(held[:, :size])
+
+    def combined(parts):
+        a, c, d, at = parts
+        order = np.lexsort((at, d, c, a))
+        a, c, d, at = a[order], c[order], d[order], at[order]
+        later = _later(a, c, d, at, within)[0]
+        a = np.where(later, seqhash.mix((d << 20 ^ at).view(np.uint64)).view(np.int64), a)
+        return batch_of(ANCHORS, a, np.where(later, 0, c), d, np.where(later, at | SETTLED, at))
 
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(rows, "a long, c long, doc_id long, at long")
 
 
+def _later(a, c, d, at, within):
+    """Which sorted rows come after the first of equal (a, c), and where a new a and a new (a, c) start."""
+    new_a = np.ones(len(a), bool)
+    new_a[1:] = a[1:] != a[:-1]
+    new_c = new_a.copy()
+    new_c[1:] |= c[1:] != c[:-1]
+    first = np.maximum.accumulate(np.where(new_c, np.arange(len(a)), 0))
+    later = d > d[first]
+    if within:
+        later |= (d == d[first]) & (at >> 24 > at[first] >> 24)
+    return later, new_a, new_c
+
+
 def compare(rows: DataFrame, within: bool) -> DataFrame:
     """Of rows with equal (a, c), those after the first are `same`; the first stays if `a` has another context too.
 
@@ -61,22 +100,20 @@ def compare(rows: DataFrame, within: bool) -> DataFrame:
     def found(batches):
         held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            if batch.num_rows:
-                out, held = settle([np.concatenate([h, longs(batch.column(k))]) for h, k in zip(held, ANCHORS.names, strict=True)], True)
+            columns = [longs(batch.column(k)) for k in ANCHORS.names]
+            done = columns[3] < 0
+            if done.any():
+                yield batch_of(FOUND, columns[0][done], columns[2][done], columns[3][done] & ~SETTLED, np.ones(int(done.sum()), bool))
+                columns = [x[~done] for x in columns]
+            if len(columns[0]):
+                out, held = settle([np.concatenate([h, x]) for h, x in zip(held, columns, strict=True)], True)
                 yield out
         if len(held[0]):
             yield settle(held, False)[0]
 
     def settle(columns, open_end):
         a, c, d, at = columns
-        new_a = np.ones(len(a), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new_c = new_a.copy()
-        new_c[1:] |= c[1:] != c[:-1]
-        first = np.maximum.accumulate(np.where(new_c, np.arange(len(a)), 0))
-        same = d > d[first]
-        if within:
-            same |= (d == d[first]) & (at >> 24 > at[first] >> 24)
+        same, new_a, new_c = _later(a, c, d, at, within)
         group = np.cumsum(new_a) - 1
         several = (np.bincount(group, new_c) > 1)[group]
         last = (group == group[-1]) & open_end
@@ -84,7 +121,7 @@ def compare(rows: DataFrame, within: bool) -> DataFrame:
         keep = ~same & last
         return batch_of(FOUND, a[out], d[out], at[out], same[out]), [x[keep] for x in columns]
 
-    return rows.repartition(F.col("a")).sortWithinPartitions("a", "c", "doc_id", "at").mapInArrow(found, "a long, doc_id long, at long, same boolean")
+    return rows.repartition("a").sortWithinPartitions("a", "c", "doc_id", "at").mapInArrow(found, "a long, doc_id long, at long, same boolean")
 
 
 def by_text(rows: DataFrame, *columns: str) -> DataFrame:
@@ -157,7 +194,7 @@ def contexts(docs: DataFrame, kept: DataFrame, width: int) -> DataFrame:
 
 def anchored(docs: DataFrame, unit: str, width: int, gram: int, within: bool) -> DataFrame:
     """Anchors of the corpus after `compare`, written: whole contexts that repeat, and those that must be extended."""
-    return stage(compare(anchor_rows(docs, unit, width, gram), within), f"anchors-{unit}")
+    return stage(compare(anchor_rows(docs, unit, width, gram, within), within), f"anchors-{unit}")
 
 
 def repeated(docs: DataFrame, unit: str, width: int, gram: int, within: bool) -> DataFrame:
