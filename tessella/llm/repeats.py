@@ -17,7 +17,7 @@ from . import seqhash
 from .common import batch_of, buffers, longs, slices, stage
 
 ANCHORS = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
-FOUND = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("same", pa.bool_())])
+FOUND = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("same", pa.bool_()), ("wide", pa.bool_())])
 CHECK = "crc32(cast(coalesce(text, '') as binary)) & 65535 as check"
 
 
@@ -38,6 +38,8 @@ def checks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 SETTLED = -(1 << 63)
 #: Anchors that a task sorts at once before it sends them.
 COMBINE = 1 << 17
+#: Distinct contexts of one anchor that a task holds; beyond that the anchor is wide and its windows are compared apart.
+FEW = 1 << 14
 
 
 def anchor_rows(docs: DataFrame, unit: str, width: int, gram: int, within: bool) -> DataFrame:
@@ -90,38 +92,48 @@ def _later(a, c, d, at, within):
     return later, new_a, new_c
 
 
-def compare(rows: DataFrame, within: bool) -> DataFrame:
+def compare(rows: DataFrame, within: bool, few: int = FEW) -> DataFrame:
     """Of rows with equal (a, c), those after the first are `same`; the first stays if `a` has another context too.
 
     within: whether a later row of the same text counts as after the first. Rows of an open `a` that are not settled
-    are held, that is one for each distinct context.
+    are held, one for each distinct context; beyond `few` of them all rows of the `a` that are not `same` leave at once as `wide`.
     """
 
     def found(batches):
-        held = [np.zeros(0, np.int64)] * 4
+        held, sent = [np.zeros(0, np.int64)] * 4, False
         for batch in batches:
             columns = [longs(batch.column(k)) for k in ANCHORS.names]
             done = columns[3] < 0
             if done.any():
-                yield batch_of(FOUND, columns[0][done], columns[2][done], columns[3][done] & ~SETTLED, np.ones(int(done.sum()), bool))
+                n = int(done.sum())
+                yield batch_of(FOUND, columns[0][done], columns[2][done], columns[3][done] & ~SETTLED, np.ones(n, bool), np.zeros(n, bool))
                 columns = [x[~done] for x in columns]
             if len(columns[0]):
-                out, held = settle([np.concatenate([h, x]) for h, x in zip(held, columns, strict=True)], True)
+                out, held, sent = settle([np.concatenate([h, x]) for h, x in zip(held, columns, strict=True)], sent, True)
                 yield out
         if len(held[0]):
-            yield settle(held, False)[0]
+            yield settle(held, sent, False)[0]
 
-    def settle(columns, open_end):
+    def settle(columns, sent, open_end):
+        """sent: the first row left before as `wide` and is only held to be compared with."""
         a, c, d, at = columns
         same, new_a, new_c = _later(a, c, d, at, within)
         group = np.cumsum(new_a) - 1
         several = (np.bincount(group, new_c) > 1)[group]
-        last = (group == group[-1]) & open_end
-        out = same | several & ~last
-        keep = ~same & last
-        return batch_of(FOUND, a[out], d[out], at[out], same[out]), [x[keep] for x in columns]
-
-    return rows.repartition("a").sortWithinPartitions("a", "c", "doc_id", "at").mapInArrow(found, "a long, doc_id long, at long, same boolean")
+        tail = group == group[-1]
+        keep = ~same & tail & open_end
+        over = bool(open_end) and (int(keep.sum()) > few or sent and group[-1] == 0)
+        wide = ((group == 0) & sent | tail & over) & ~same
+        out = same | wide | several & ~(tail & open_end)
+        if sent:
+            out[0] = False
+        if over:
+            keep[:] = False
+            keep[np.flatnonzero(new_c)[-1]] = True
+        return batch_of(FOUND, a[out], d[out], at[out], same[out], wide[out]), [x[keep] for x in columns], over
+
+    ordered = rows.repartition("a").sortWithinPartitions("a", "c", "doc_id", "at")
+    return ordered.mapInArrow(found, "a long, doc_id long, at long, same boolean, wide boolean")
 
 
 def by_text(rows: DataFrame, *columns: str) -> DataFrame:
@@ -131,7 +143,10 @@ def by_text(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def extend(docs: DataFrame, kept: DataFrame, unit: str, width: int) -> DataFrame:
-    """(a, c, doc_id, at) for each window of the contexts in `kept`: the anchor extended both ways to each window around it."""
+    """(a, c, doc_id, at) for each window of the contexts in `kept`: the anchor extended both ways to each window around it.
+
+    Eight bits of the window's hash `c` are added to `a`, so that the windows of a common anchor are spread over many tasks.
+    """
 
     def windows(batches):
         for batch in batches:
@@ -155,7 +170,8 @@ def extend(docs: DataFrame, kept: DataFrame, unit: str, width: int) -> DataFrame
                         base = int(first[lo])
                         hashes = seqhash.window_hashes(symbols, origin + base, int(first[hi - 1] + n[-1] - base), width).view(np.int64)
                         starts = np.repeat(first[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        out.append((np.repeat(a[lo:hi], n), hashes[starts - base], np.full(len(starts), ids[k]), starts << 24 | at[lo] & 0xFFFF00))
+                        c = hashes[starts - base]
+                        out.append((np.repeat(a[lo:hi], n) + (c & 0xFF), c, np.full(len(starts), ids[k]), starts << 24 | at[lo] & 0xFFFF00))
                         size += len(starts)
                         if size > 1 << 17:
                             yield batch_of(ANCHORS, *map(np.concatenate, zip(*out, strict=True)))
@@ -192,14 +208,14 @@ def contexts(docs: DataFrame, kept: DataFrame, width: int) -> DataFrame:
     return joined.select("doc_id", "text", "a_list", "at_list").mapInArrow(rows, "a long, doc_id long, at long, bytes binary")
 
 
-def anchored(docs: DataFrame, unit: str, width: int, gram: int, within: bool) -> DataFrame:
+def anchored(docs: DataFrame, unit: str, width: int, gram: int, within: bool, few: int = FEW) -> DataFrame:
     """Anchors of the corpus after `compare`, written: whole contexts that repeat, and those that must be extended."""
-    return stage(compare(anchor_rows(docs, unit, width, gram, within), within), f"anchors-{unit}")
+    return stage(compare(anchor_rows(docs, unit, width, gram, within), within, few), f"anchors-{unit}")
 
 
-def repeated(docs: DataFrame, unit: str, width: int, gram: int, within: bool) -> DataFrame:
+def repeated(docs: DataFrame, unit: str, width: int, gram: int, within: bool, few: int = FEW) -> DataFrame:
     """(doc_id, at) of runs of windows that repeat an earlier one, by seed and extend."""
-    found = anchored(docs, unit, width, gram, within)
+    found = anchored(docs, unit, width, gram, within, few)
     more = compare(extend(docs, found.filter("not same"), unit, width), within)
     return found.filter("same").select("doc_id", "at").unionByName(more.filter("same").select("doc_id", "at"))
 

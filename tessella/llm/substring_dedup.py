@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch_of, documents, longs
-from .repeats import cover, repeated, with_repeats
+from .repeats import FEW, cover, repeated, with_repeats
 
 OUT = pa.schema([("doc_id", pa.int64()), ("kept_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def substring_dedup(docs: DataFrame, words: int = 50, gram: int = 16, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, words: int = 50, gram: int = 16, few: int = FEW, texts: bool = True) -> DataFrame:
     """Removes words of passages of `words` words or more that also stand in a document with a smaller doc_id.
 
     Words are maximal runs outside space, tab, newline, \\x0B, \\f and \\r. Documents seed on the winnowed `gram`-word
@@ -24,7 +24,7 @@ def substring_dedup(docs: DataFrame, words: int = 50, gram: int = 16, texts: boo
     `texts`), n_words, n_removed, kept_sha256 for every row. A null text has no words; a row with a null doc_id loses
     nothing and removes nothing; repeated rows count as one document.
     """
-    runs = repeated(docs, "word", words, gram, within=False)
+    runs = repeated(docs, "word", words, gram, False, few)
 
     def finish(batches):
         for batch in batches:

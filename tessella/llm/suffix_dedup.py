@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch_of, buffers, documents, groups, longs
 from .induced import repeats
-from .repeats import anchored, contexts, cover, with_repeats
+from .repeats import FEW, anchored, compare, contexts, cover, extend, with_repeats
 
 OUT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -52,15 +52,19 @@ def sorted_shards(rows: DataFrame, width: int, size: int = 2 << 20) -> DataFrame
     return ordered.mapInArrow(found, "doc_id long, at long")
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 28, texts: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 28, few: int = FEW, texts: bool = True) -> DataFrame:
     """Removes bytes covered by a `width`-byte string that also starts earlier (smaller doc_id, or earlier in the document).
 
     Returns doc_id, kept (the remaining bytes; null unless `texts`), n_bytes, n_removed, n_spans, kept_sha256 for every row.
     A null text is empty; a row with a null doc_id loses nothing and removes nothing; repeated rows count as one document.
+    An anchor with over `few` distinct contexts makes no shard: its windows are hashed one by one and spread over tasks.
     """
-    found = anchored(docs, "byte", width, gram, within=True)
-    more = sorted_shards(contexts(docs, found.filter("not same"), width), width)
+    found = anchored(docs, "byte", width, gram, True, few)
+    more = sorted_shards(contexts(docs, found.filter("not same and not wide"), width), width)
     runs = found.filter("same").select("doc_id", "at").unionByName(more)
+    wide = found.filter("wide")
+    if not wide.isEmpty():
+        runs = runs.unionByName(compare(extend(docs, wide, "byte", width), True).filter("same").select("doc_id", "at"))
 
     def finish(batches):
         for batch in batches:

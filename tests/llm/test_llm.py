@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import ann, decontaminate, induced, packing, pii, quality, secret_scan, simhash, spans, substring_dedup, suffix_dedup, toxicity
+from tessella.llm import ann, decontaminate, induced, packing, pii, quality, repeats, secret_scan, simhash, spans, substring_dedup, suffix_dedup, toxicity
 from tessella.llm.components import components
 from tessella.llm.learn import Isotonic, Trees, logistic
 
@@ -89,8 +89,9 @@ def test_similar_documents(docs):
     assert None not in got and got[33].component_id == 33
 
 
-def test_substring_dedup(docs, empty):
-    got, seen = by_id(substring_dedup.substring_dedup(docs)), set()
+@pytest.mark.parametrize("few", [1 << 14, 1])
+def test_substring_dedup(docs, empty, few):
+    got, seen = by_id(substring_dedup.substring_dedup(docs, few=few)), set()
     for i, t in texts(docs):
         w = re.findall("[^\x20\x09-\x0d]+", t or "")
         own = {p: tuple(w[p : p + 50]) for p in range(len(w) - 49)}
@@ -101,8 +102,9 @@ def test_substring_dedup(docs, empty):
     assert got[None].n_removed == 0 and substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_suffix_dedup(docs, empty):
-    got, seen = by_id(suffix_dedup.suffix_dedup(docs)), set()
+@pytest.mark.parametrize("few", [1 << 14, 1])
+def test_suffix_dedup(docs, empty, few):
+    got, seen = by_id(suffix_dedup.suffix_dedup(docs, few=few)), set()
     for i, t in texts(docs):
         b, gone = (t or "").encode(), set()
         for p in range(len(b) - 99):
@@ -116,6 +118,28 @@ def test_suffix_dedup(docs, empty):
     assert got[None].n_removed == 0 and suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("within", [False, True])
+def test_compare_of_wide_anchors(spark, within):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2, 3, k + 10]), rng.randint(0, 60), rng.randint(0, 40), rng.randint(0, 90) << 24) for k in range(1500)]
+    firsts, contexts = {}, collections.defaultdict(set)
+    for a, c, d, at in sorted(rows):
+        firsts.setdefault((a, c), (d, at))
+        contexts[a].add(c)
+    later = [r for r in rows if r[2] > firsts[r[:2]][0] or within and r[2:] > firsts[r[:2]]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = repeats.compare(spark.createDataFrame(rows, "a long, c long, doc_id long, at long"), within, few=20).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    key = lambda r: (r[0], r[2], r[3])
+    assert sorted(tuple(r)[:3] for r in got if r.same) == sorted(key(r) for r in later)
+    rest = collections.Counter(map(key, rows)) - collections.Counter(map(key, later))
+    assert collections.Counter(tuple(r)[:3] for r in got if not r.same) == collections.Counter({k: n for k, n in rest.items() if len(contexts[k[0]]) > 1})
+    assert {r.a for r in got if r.wide} == {1, 2, 3} and not any(r.same and r.wide for r in got)
+
+
 def test_induced_sorting():
     rng = random.Random(5)
     for _ in range(60):
