@@ -17,13 +17,15 @@ import numpy as np
 from .seqhash import BYTE_SYMBOLS, Poly
 
 _pieces = Poly(0x9E6C63D0676A9A99)
+#: Suffixes worked on at once, so that temporary arrays stay small beside the shard.
+BLOCK = 1 << 16
 
 
 class Queues:
     """A queue of (suffixes, common prefixes) for each first byte; the largest ones are kept on disk."""
 
-    def __init__(self, memory: int):
-        self.memory, self.held, self.file = memory, 0, None
+    def __init__(self, memory: int, kind: type):
+        self.memory, self.kind, self.held, self.file = memory, kind, 0, None
         self.blocks: list[list] = [[] for _ in range(256)]
 
     def put(self, byte: int, at: np.ndarray, common: np.ndarray) -> None:
@@ -49,8 +51,9 @@ class Queues:
             if not isinstance(at, np.ndarray):
                 self.file.seek(at)
                 n = common
-                raw = self.file.read(9 * n)
-                at, common = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint8, n, 8 * n)
+                size = np.dtype(self.kind).itemsize
+                raw = self.file.read((size + 1) * n)
+                at, common = np.frombuffer(raw, self.kind, n), np.frombuffer(raw, np.uint8, n, size * n)
             else:
                 self.held -= at.nbytes + common.nbytes
             yield at, common
@@ -81,30 +84,38 @@ class _Lowest:
 
 
 class Shard:
-    def __init__(self, texts: list[bytes], width: int, memory: int = 64 << 20):
+    def __init__(self, texts: list[bytes], width: int, memory: int = 16 << 20):
         self.width, self.memory = width, memory
         sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(sizes + 1) - 1
         self.starts = self.ends - sizes
         # UTF-8 holds no byte over 0xF4, so one more still fits; 0 is the separator
-        self.t = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)
-        self.rest = np.repeat(self.ends, sizes + 1) - np.arange(len(self.t))  # up to the separator
+        n = len(sizes) + int(sizes.sum())
+        self.padded = np.zeros(n + 8, np.uint8)
+        self.t = self.padded[:n]
+        np.add(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8), np.uint8(1), out=self.t)
+        self.kind = kind = np.int32 if n < 1 << 31 else np.int64  # of places
+        places = np.arange(n, dtype=kind)
+        self.rest = np.minimum(np.repeat(self.ends.astype(kind), sizes + 1) - places, width).astype(np.uint8)  # up to the separator
         step = np.diff(self.t.astype(np.int16))
-        turn = np.flatnonzero(step)  # equal neighbours have the type of the next change
-        nxt = np.searchsorted(turn, np.arange(len(self.t)))
-        rises = np.append(step[turn] > 0, True)
-        self.rising = rises[np.minimum(nxt, len(turn))]
-        self.rising[-1] = True
+        # equal neighbours have the type of the next change
+        turn = np.append(np.where(step != 0, places[:-1], kind(n - 1)), kind(n - 1))
+        self.rising = np.append(step > 0, True)[np.minimum.accumulate(turn[::-1])[::-1]]
         self.minimum = self.rising.copy()
         self.minimum[0] = False
         self.minimum[1:] &= ~self.rising[:-1]
 
     def shared(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes p and q, up to width; separators are all different."""
+        out = np.zeros(len(p), np.uint8)
+        for k in range(0, len(p), BLOCK):
+            out[k : k + BLOCK] = self._shared(p[k : k + BLOCK], q[k : k + BLOCK])
+        return out
+
+    def _shared(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         out = np.zeros(len(p), np.int64)
         live = np.arange(len(p))
-        padded = np.concatenate([self.t, np.zeros(8, np.uint8)])
-        word = np.lib.stride_tricks.as_strided(padded, (len(self.t), 8), (1, 1))
+        word = np.lib.stride_tricks.as_strided(self.padded, (len(self.t), 8), (1, 1))
         for done in range(0, self.width, 8):
             a, b = p[live] + done, q[live] + done
             ok = np.maximum(a, b) < len(self.t)
@@ -125,8 +136,7 @@ class Shard:
             common = np.zeros(len(minima), np.uint8)
         first = self.t[minima]
         bound = np.searchsorted(first, np.arange(257))
-        falling, rising = Queues(self.memory), Queues(self.memory)
-        kept = Queues(self.memory)
+        falling, rising, kept = (Queues(self.memory, self.kind) for _ in range(3))
         low = np.full(256, self.width, np.uint8)
         try:
             for byte in range(256):
@@ -163,7 +173,7 @@ class Shard:
                     # descending: each now shares with the one above it what that one shared with it
                     self._push(rising, at[::-1], np.append(edge, c[1:][::-1]), low, True, carry)
                 else:
-                    at, c = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+                    at, c = np.zeros(0, self.kind), np.zeros(0, np.uint8)
                 if down:
                     s, d = np.concatenate([x[0] for x in down])[::-1], np.concatenate([x[1] for x in down])
                     at, c = np.concatenate([at, s]), np.concatenate([c, [edge] if len(at) else [0], d[1:][::-1]]).astype(np.uint8)
@@ -175,8 +185,10 @@ class Shard:
 
     def _push(self, queues: Queues, at: np.ndarray, common: np.ndarray, low: np.ndarray, rising: bool, carry: bool) -> None:
         """Queues the suffixes one byte longer than those of a block, and keeps in `low` what has been shared since each byte's last one."""
-        if not len(at):
-            return
+        for k in range(0, len(at), BLOCK):
+            self._push_block(queues, at[k : k + BLOCK], common[k : k + BLOCK], low, rising, carry)
+
+    def _push_block(self, queues: Queues, at: np.ndarray, common: np.ndarray, low: np.ndarray, rising: bool, carry: bool) -> None:
         before = np.maximum(at - 1, 0)
         use = np.flatnonzero((self.rising[before] == rising) & (at > 0))
         byte = self.t[before[use]]
@@ -211,22 +223,24 @@ class Shard:
 
     def minima(self) -> tuple[np.ndarray, np.ndarray]:
         """The suffixes at local minima in order, and what each shares with the one before it."""
-        places = np.flatnonzero(self.minimum)
+        places = np.flatnonzero(self.minimum).astype(self.kind)
         bare = places[np.argsort(self.t[places], kind="stable")]
         parts = [at[self.minimum[at]] for at, _ in self.induce(bare, None)][::-1]
-        ordered = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        following = np.full(len(self.t), len(self.t) - 1)
-        following[places[:-1]] = places[1:]
-        sums = _pieces.sums(BYTE_SYMBOLS[self.t])
-        end = following[ordered] + 1
-        code = _pieces.ranges(sums, ordered, end)
-        size = end - ordered
-        new = np.ones(len(ordered), bool)
-        new[1:] = (code[1:] != code[:-1]) | (size[1:] != size[:-1])
-        name = np.zeros(len(self.t), np.int64)
-        name[self.ends] = np.arange(len(self.ends))
-        name[ordered] = np.cumsum(new) - 1 + len(self.ends)
-        rank, step = name[places], 1
+        order = np.searchsorted(places, np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        end = np.append(places[1:], self.kind(len(self.t) - 1)) + 1
+        code = np.zeros(len(places), np.uint64)
+        for k in range(0, len(places), BLOCK):
+            lo, hi = places[k : k + BLOCK], end[k : k + BLOCK]
+            sums = _pieces.sums(BYTE_SYMBOLS[self.t[lo[0] : hi[-1]]])
+            code[k : k + BLOCK] = _pieces.ranges(sums, lo - lo[0], hi - lo[0])
+        size = end - places
+        new = np.ones(len(order), bool)
+        new[1:] = (code[order[1:]] != code[order[:-1]]) | (size[order[1:]] != size[order[:-1]])
+        rank = np.zeros(len(places), np.int64)
+        rank[np.searchsorted(places, self.ends[self.minimum[self.ends]])] = np.flatnonzero(self.minimum[self.ends])
+        rank[order] = np.cumsum(new) - 1 + len(self.ends)
+        del code, size, end, order, new, parts, bare
+        step = 1
         while step <= self.width:
             ahead = np.zeros(len(rank), np.int64)
             ahead[:-step] = rank[step:] + 1
@@ -260,8 +274,8 @@ def repeats(texts: list[bytes], rank: np.ndarray, width: int) -> tuple[np.ndarra
         place = rank[text] << 32 | offset
         n = np.diff(np.append(starts, len(at)))
         late = place > np.repeat(np.minimum.reduceat(place, starts), n)
-        out_t.append(text[late])
-        out_o.append(offset[late])
+        out_t.append(text[late].astype(shard.kind))
+        out_o.append(offset[late].astype(shard.kind))
     if not out_t:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(out_t), np.concatenate(out_o)

@@ -27,11 +27,12 @@ def sorted_shards(rows: DataFrame, width: int, size: int = 2 << 20) -> DataFrame
     def found(batches):
         held, total = [], 0
         for batch, _ in groups(batches, ["a"]):
-            held.append(batch)
-            total += batch.column("bytes").nbytes
-            if total >= size:
+            more = batch.column("bytes").nbytes
+            if held and total + more > size:
                 yield sort(held)
                 held, total = [], 0
+            held.append(batch)
+            total += more
         if held:
             yield sort(held)
 
