@@ -149,9 +149,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     return prints.join(of, "fp", "left").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("sketch", pa.binary())])
-#: Smallest shingle hashes kept to compare two texts; texts of up to so many shingles are compared exactly.
-SKETCH = 256
+SETS = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
 
 
 def _multiprints(docs: DataFrame, words: int, count: int) -> DataFrame:
@@ -172,26 +170,39 @@ def _multiprints(docs: DataFrame, words: int, count: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, ", ".join(f"{c} long" for c in schema.names))
 
 
-def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, sketch): the smallest SKETCH distinct shingle hashes (32 bits of each) of the text."""
+def _set_of(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes((text or "").encode().lower().split(), words))
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, hashes): all distinct shingle hashes of the text, in order."""
 
     def rows(batches):
         for batch in batches:
-            out = [(np.unique(shingle_hashes((t.as_py() or "").encode().lower().split(), words) >> np.uint64(32))[:SKETCH]).astype(np.uint32).tobytes() for t in batch.column("text")]
-            yield batch_of(SKETCHES, batch.column("doc_id"), out)
+            yield batch_of(SETS, batch.column("doc_id"), [_set_of(t.as_py(), words).tobytes() for t in batch.column("text")])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, hashes binary")
 
 
 def resemblance(a: bytes, b: bytes) -> float:
-    """Jaccard similarity from two sketches: exact if the union's hashes are all kept, else over its smallest ones."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    union = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        union = union[:SKETCH]
-    if not len(union):
-        return 1.0
-    return len(np.intersect1d(np.intersect1d(x, y), union, assume_unique=True)) / len(union)
+    """Jaccard similarity of two sets of shingle hashes; 1 of two empty ones."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / (len(x) + len(y) - shared) if len(x) + len(y) else 1.0
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of documents whose shingles have a Jaccard similarity of `similarity` or more, from all shingles of both."""
+    asked = pairs.select("u").union(pairs.select("v")).distinct().toDF("doc_id")
+    sets = stage(_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+
+    def rows(batches):
+        for batch in batches:
+            near = [resemblance(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
+            yield batch.filter(pa.array(near, pa.bool_())).select(["u", "v"])
+
+    return both.mapInArrow(rows, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, narrow: int = 2, prints: int = 4, bits: int = 5) -> DataFrame:
@@ -210,16 +221,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     for more in found[1:]:
         edges = edges.unionByName(more)
     edges = stage(edges.distinct(), "candidates")
-    asked = edges.select("u").union(edges.select("v")).distinct().toDF("doc_id")
-    sketches = stage(_sketches(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sketches")
-    both = edges.join(sketches.toDF("u", "a"), "u").join(sketches.toDF("v", "b"), "v").select("u", "v", "a", "b")
-
-    def verify(batches):
-        for batch in batches:
-            near = [resemblance(a, b) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(near, pa.bool_())).select(["u", "v"])
-
-    roots = components(both.mapInArrow(verify, "u long, v long"))
+    roots = components(verified(edges, docs, words, similarity))
     of = texts.join(roots, texts["rep"] == roots["node"], "left").select("t1", "t2", F.coalesce("root", "rep").alias("component_id"))
     return made.select("doc_id", "t1", "t2").join(of, ["t1", "t2"]).select("doc_id", "component_id")
 

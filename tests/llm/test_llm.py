@@ -89,6 +89,27 @@ def test_similar_documents(docs):
     assert None not in got and got[33].component_id == 33
 
 
+def jaccard(a, b, words=5):
+    x, y = ({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_verification_is_exact_for_long_texts(spark):
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for k in range(40):
+        words = [str(rng.randint(0, 10**6)) for _ in range(900)]
+        cut = 900 - rng.randint(176, 184)  # similarity close to 0.8 on either side
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:cut]))]
+        pairs.append((2 * k + 1, 2 * k))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    want = {(u, v) for u, v in pairs if jaccard(text[u], text[v]) >= 0.8}
+    assert 0 < len(want) < 40
+    assert {tuple(r) for r in simhash.verified(spark.createDataFrame(pairs, "u long, v long"), df, 5, 0.8).collect()} == want
+    assert all((simhash.resemblance(*(np.unique(simhash.shingle_hashes(text[i].encode().split(), 5)).tobytes() for i in p)) >= 0.8) == (p in want) for p in pairs)
+
+
 @pytest.mark.parametrize("few", [1 << 14, 1])
 def test_substring_dedup(docs, empty, few):
     got, seen = by_id(substring_dedup.substring_dedup(docs, few=few)), set()
