@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -205,12 +207,109 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
     return both.mapInArrow(rows, "u long, v long")
 
 
+PREFIXES = pa.schema([(c, pa.int64()) for c in ("token", "doc_id", "root", "size", "at")])
+
+
+def common_shingles(docs: DataFrame, words: int, sample: int = 20_000, least: int = 4, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingle hashes, in order, and their counts in about `sample` documents. What is missed costs time, no result."""
+    part = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // sample))) == 0)
+
+    def rows(batches):
+        for batch in batches:
+            for t in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_set_of(t.as_py(), words).view(np.int64))], ["token"])
+
+    counts = part.mapInArrow(rows, "token long").groupBy("token").count().filter(F.col("count") >= least)
+    found = counts.orderBy(F.desc("count"), "token").limit(most).collect()
+    tokens = np.array([r["token"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r["count"] for r in found], np.int64)[order]
+
+
+def _prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """PREFIXES rows of docs (doc_id, text, root): the first shingles of each text in one order of all shingles, rare ones first.
+
+    Two texts of that similarity share a shingle among them, as they share `similarity` times the shingles of either.
+    """
+    known, counts = common
+
+    def rows(batches):
+        for batch in batches:
+            out, held = [], 0
+            for doc_id, t, root in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("root").to_pylist(), strict=True):
+                s = _set_of(t.as_py(), words)
+                n = len(s)
+                if not n:
+                    continue
+                rank = np.zeros(n, np.int64)
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[k] == s, counts[k], 0)
+                first = s[np.lexsort((s, rank))[: n - math.ceil(similarity * n - 1e-6) + 1]].view(np.int64)
+                m = len(first)
+                out.append((first, np.full(m, doc_id), np.full(m, root), np.full(m, n), np.arange(m)))
+                held += m
+                if held > 1 << 18:
+                    yield batch_of(PREFIXES, *(np.concatenate(c) for c in zip(*out, strict=True)))
+                    out, held = [], 0
+            if out:
+                yield batch_of(PREFIXES, *(np.concatenate(c) for c in zip(*out, strict=True)))
+
+    return docs.select("doc_id", "text", "root").mapInArrow(rows, ", ".join(f"{c} long" for c in PREFIXES.names))
+
+
+def shared_prefixes(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of documents of unequal roots that share a prefix shingle and may be similar by their sizes and its places.
+
+    The first shingle that two similar texts share leaves enough after it in both; so each such pair is returned.
+    """
+    share = similarity / (1 + similarity)
+
+    def pairs(batches):
+        for batch, starts in groups(batches, ["token"]):
+            doc, root, size, at = (longs(batch.column(c)) for c in ("doc_id", "root", "size", "at"))
+            after = size - at
+
+            def fit(x, y):
+                near = (root[x] != root[y]) & (np.minimum(after[x], after[y]) >= share * (size[x] + size[y]) - 1e-6)  # noqa: B023
+                return x[near], y[near]
+
+            sizes = np.diff(np.append(starts, len(doc)))
+            u, v, held = [], [], 0
+            for m in range(2, 9):
+                i, j = np.triu_indices(m, 1)
+                s = starts[sizes == m][:, None]
+                x, y = fit((s + i).ravel(), (s + j).ravel())
+                u.append(doc[x])
+                v.append(doc[y])
+            for s, n in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
+                if (root[s : s + n] == root[s]).all():
+                    continue
+                ends = s + np.searchsorted(size[s : s + n], size[s : s + n] / similarity + 1e-6, side="right")  # sorted by size
+                for k in range(s, s + n - 1):
+                    y = np.arange(k + 1, ends[k - s])
+                    x, y = fit(np.full(len(y), k), y)
+                    u.append(doc[x])
+                    v.append(doc[y])
+                    held += len(x)
+                    if held > 1 << 18:
+                        a, b = np.concatenate(u), np.concatenate(v)
+                        yield batch_of(EDGES, np.maximum(a, b), np.minimum(a, b))
+                        u, v, held = [], [], 0
+            if u:
+                a, b = np.concatenate(u), np.concatenate(v)
+                yield batch_of(EDGES, np.maximum(a, b), np.minimum(a, b))
+
+    return prefixes.repartition("token").sortWithinPartitions("token", "size", "doc_id").mapInArrow(pairs, "u long, v long").filter("u <> v").distinct()
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, narrow: int = 2, prints: int = 4, bits: int = 5) -> DataFrame:
-    """(doc_id, component_id) of documents linked by a Jaccard similarity of `similarity` or more of their `words`-word shingles.
+    """(doc_id, component_id): the components of all pairs at a Jaccard similarity of `similarity` or more of their `words`-word shingles.
 
-    Candidates are texts at `bits` or fewer differing bits in any of `prints` SimHash fingerprints over `narrow`-word shingles,
-    which change less than longer ones; each candidate is verified. Texts of equal words are linked as such. README has the
-    measured recall. Blank texts are equal; null ids take no part; repeated rows are one document.
+    Candidates are first texts at `bits` or fewer differing bits in any of `prints` SimHash fingerprints over `narrow`-word
+    shingles, which change less than longer ones. What these leave in unequal components is joined by the shingles of a prefix
+    that similar texts must share, so that no pair is missed. Each candidate is verified by all its shingles. Texts of equal
+    words are linked as such. Blank texts are equal; null ids take no part; repeated rows are one document.
     """
     names = tuple(f"f{k}" for k in range(prints))
     made = stage(_multiprints(docs.filter("doc_id is not null"), narrow, prints), "prints")
@@ -220,8 +319,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
-    edges = stage(edges.distinct(), "candidates")
-    roots = components(verified(edges, docs, words, similarity))
+    near = components(verified(stage(edges.distinct(), "candidates"), docs, words, similarity))
+    labelled = texts.select("rep").distinct().join(near, F.col("rep") == near["node"], "left").select(F.col("rep").alias("doc_id"), F.coalesce("root", "rep").alias("root"))
+    single = docs.select("doc_id", "text").join(labelled, "doc_id")
+    prefixes = _prefixes(single, words, similarity, common_shingles(docs, words))
+    rest = verified(stage(shared_prefixes(prefixes, similarity), "candidates"), docs, words, similarity)
+    roots = components(rest.unionByName(near.toDF("u", "v")))
     of = texts.join(roots, texts["rep"] == roots["node"], "left").select("t1", "t2", F.coalesce("root", "rep").alias("component_id"))
     return made.select("doc_id", "t1", "t2").join(of, ["t1", "t2"]).select("doc_id", "component_id")
 

@@ -110,6 +110,51 @@ def test_verification_is_exact_for_long_texts(spark):
     assert all((simhash.resemblance(*(np.unique(simhash.shingle_hashes(text[i].encode().split(), 5)).tobytes() for i in p)) >= 0.8) == (p in want) for p in pairs)
 
 
+def edited(rng, kind, words, share):
+    """A copy of `words` with text of about `share` of it appended, cut off or replaced as one block."""
+    n = int(len(words) * share)
+    fresh = [str(rng.randint(0, 10**6)) for _ in range(n)]
+    if kind == "append":
+        return words + fresh
+    at = len(words) - n if kind == "truncate" else rng.randint(0, len(words) - n)
+    return words[:at] + words[at + n :] if kind == "truncate" else words[:at] + fresh + words[at + n :]
+
+
+@pytest.mark.parametrize("kind", ["append", "truncate", "block"])
+def test_similar_documents_are_complete(spark, kind):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(60):
+        words = [str(rng.randint(0, 10**6)) for _ in range(rng.randint(20, 400))]
+        rows += [words, edited(rng, kind, words, rng.uniform(0.05, 0.26) / (2 if kind == "block" else 1))]
+    crowd = [str(rng.randint(0, 10**6)) for _ in range(200)]  # a crowd of copies in many runs of the index
+    rows += [edited(rng, kind, crowd, rng.uniform(0.01, 0.2)) for _ in range(40)]
+    text = {k: " ".join(w) for k, w in enumerate(rows)}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in enumerate(rows)}
+    want = {k: k for k in text}
+    for a, b in itertools.combinations(text, 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and want[a] != want[b]:
+            low, high = sorted((want[a], want[b]))
+            want = {k: low if r == high else r for k, r in want.items()}
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+
+
+def test_common_shingles_change_no_result(spark):
+    rng = random.Random(8)
+    shared = [str(k) for k in range(60)]
+    rows = [shared + [str(rng.randint(0, 10**6)) for _ in range(20)] for _ in range(30)]
+    rows += [edited(rng, "append", w, 0.15) for w in rows]
+    df = spark.createDataFrame([(k, " ".join(w), k) for k, w in enumerate(rows)], "doc_id long, text string, root long")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    known = simhash.common_shingles(df, 5)
+    assert len(known[0]) >= 56
+    for common in (known, none):
+        pairs = simhash.shared_prefixes(simhash._prefixes(df, 5, 0.8, common), 0.8)
+        got = {(r.u, r.v) for r in simhash.verified(pairs, df, 5, 0.8).collect()}
+        assert got == {(b, a) for a, b in itertools.combinations(range(60), 2) if jaccard(" ".join(rows[a]), " ".join(rows[b])) >= 0.8}
+
+
 @pytest.mark.parametrize("few", [1 << 14, 1])
 def test_substring_dedup(docs, empty, few):
     got, seen = by_id(substring_dedup.substring_dedup(docs, few=few)), set()
