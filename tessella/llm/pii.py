@@ -156,8 +156,7 @@ def train(docs: DataFrame) -> set[int]:
     keep = set()
     for number in counts:
         x = [float(v == s) for v in _unpacked(number) for s in (1, 0)] + [1.0]
-        shape, *_, length = _unpacked(number)
-        if sum(a * b for a, b in zip(w, x, strict=True)) >= 0 and shape == 1 and length == 1:
+        if sum(a * b for a, b in zip(w, x, strict=True)) >= 0:
             keep.add(number)
     return keep
 

@@ -336,6 +336,15 @@ def test_nearest_of_few(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_personal_data_beyond_fixed_shapes(spark):
+    sure = [f"call tel: +1 (555) 123-{4000 + k}" for k in range(30)]
+    local = ["Telefon: 030 123456", "Tel: 0612 345 678", "Konto: 12345 67890"] * 10
+    plain = [f"chapter 12 {345 + k} of it, $ 20 {100 + k} paid, 50 20 % off" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate([*sure, *local, *plain])), "doc_id long, text string")
+    got = {r.doc_id: r.f for r in pii.scan(df, pii.train(df)).select("doc_id", spans.joined(F.col("found")).alias("f")).collect()}
+    assert all("model" in got[k] for k in range(30, 60)) and not any("model" in got[k] for k in range(60, 120))
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, PASSAGE), (2, "too short"), (3, None), (None, PASSAGE), (4, "never seen words here at all in any document of ours")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs, items).collect()}
