@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessella.llm import decontaminate, packing, secret_scan, simhash, toxicity
 from tessella.llm.common import crc32_text, stage, table
 
-#: Documents with a toxicity score of this much or more are rejected.
-TOXIC = 0.5
+#: Documents with a toxicity score of this much or more are rejected, as operator 9 decides.
+TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

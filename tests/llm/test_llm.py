@@ -418,3 +418,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert 1003 not in seen["simhash_near_dedup"] and 1002 in seen["simhash_near_dedup"]
     assert 1000 in seen["simhash_near_dedup"] and 1000 not in seen["benchmark_decontamination"]
     assert by_id(last)[1001].text == "x [SECRET] y" and seen["packing"] == seen["secret_scans"]
+
+
+def test_pipeline_rejects_what_operator_9_marks(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, k / 10) for k in range(6)], "doc_id long, s double")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: docs)
+    monkeypatch.setattr(toxicity, "train", lambda *a: None)
+    monkeypatch.setattr(toxicity, "score", lambda d, m, *keep, name: d.withColumn(name, F.col("s")))
+    assert [r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, "").orderBy("doc_id").collect()] == [0, 1, 2]
