@@ -52,6 +52,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Deletes tables that `stage` wrote and that no later step reads."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        for f in t.inputFiles()[:1]:
+            folder = sc._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def crc32_text(column: Column) -> Column:
     """crc32 of the decimal text of an integer column."""
     return F.crc32(column.cast("string").cast("binary"))
