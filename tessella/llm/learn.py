@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int) -> DataFrame:
-    """(doc_id, text, y, weight) of at most `limit` rows of each label, the same ones each time.
+    """(doc_id, text, y, weight) of at most `limit` documents of each label, whole, the same ones each time.
 
     The choice is by a hash of doc_id among all labels that `learn` (a condition on doc_id) allows; weight undoes the
-    difference in sampling. The chosen labels are 2 * limit rows at most, so they may be broadcast.
+    difference in sampling. The chosen labels are 2 * limit rows at most, so they may be broadcast. Where an id repeats, the
+    text with the smallest hash stands for it, so that one hot id cannot swamp the sample.
     """
     clean = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("y"))
     counts = dict(clean.groupBy("y").count().collect())
@@ -24,7 +25,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, limit
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(4 * limit)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "y", "weight").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "t.text", "y", "weight")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
