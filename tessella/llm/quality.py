@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +10,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, buffers, crc32_text, documents, table
+from .common import batch_of, buffers, crc32_text, documents, longs, stage, table, unstage
 from .learn import labelled_sample, logistic
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+BLOCKS = pa.schema([("y", pa.int32()), ("key", pa.int64()), ("block", pa.binary())])
+DIFFERENCES = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("weight", pa.float64()), ("d", pa.float64())])
 #: Bytes compressed at once, so that a dictionary counts as much at the end of a text as at its start.
 BLOCK = 2048
 
@@ -22,7 +24,7 @@ class CompressionModel:
     """Two dictionaries and a logistic calibration; picklable, its compressors are made where it is used."""
 
     def __init__(self, good: bytes, bad: bytes, level: int = 3):
-        self.good, self.bad, self.level, self.weights = good, bad, level, np.zeros(5)
+        self.good, self.bad, self.level, self.weights = good, bad, level, np.zeros(2)
 
     def _sizes(self):
         out = []
@@ -34,56 +36,79 @@ class CompressionModel:
             out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
         return out
 
-    def features(self, texts) -> np.ndarray:
-        """For each UTF-8 text, from the compressed sizes of all its blocks: the normalised difference, how well it compresses, length."""
+    def differences(self, texts) -> np.ndarray:
+        """For each UTF-8 text the normalised difference of its compressed sizes, bad less good, over all its blocks."""
         good, bad = self._sizes()
-        rows = []
-        for t in texts:
+        out = np.zeros(len(texts))
+        for n, t in enumerate(texts):
             g = b = 1
             for k in range(0, len(t), BLOCK):
                 block = t[k : k + BLOCK]
                 g += len(good(block))
                 b += len(bad(block))
-            d, ratio = (b - g) / (b + g), math.log((b + g) / (2 * len(t) + 2))
-            rows.append((d, ratio, ratio * ratio, math.log(len(t) + 1)))
-        return np.array(rows).reshape(-1, 4)
+            out[n] = (b - g) / (b + g)
+        return out
 
     def score(self, texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.differences(texts) * self.weights[0] + self.weights[1], -30, 30)))
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    blocks = [s[k : k + BLOCK] for s in samples for k in range(0, len(s), BLOCK)]
+def _dictionary(blocks: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, blocks).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples for a trained one: raw content
         return b"".join(blocks)[-size:] or b" " * 16
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int = 1500, passage: int = 8192, size: int = 1 << 16) -> CompressionModel:
-    """Fits dictionaries on one half of a bounded sample (limit texts a label, of each a passage of at most `passage`
-    characters at a place chosen by hash) and the calibration on the other half."""
-    chosen = labelled_sample(docs, labels, label, learn, limit)
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - passage)).cast("int") + 1
-    rows = chosen.select("doc_id", F.coalesce(F.substring("text", start, F.lit(passage)), F.lit("")).alias("text"), "y", "weight").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    texts = [r.text.encode() for r in rows]
-    y, w = np.array([r.y for r in rows], float), np.array([r.weight for r in rows])
-    model = CompressionModel(*(_dictionary([t for k, t in enumerate(texts) if y[k] == v and k % 2 == 0], size) for v in (1, 0)))
-    rest = [k for k in range(len(texts)) if k % 2]
-    if len(set(y[rest])) == 2:
-        model.weights = logistic(model.features([texts[k] for k in rest]), y[rest], w[rest])
+def _views(column: pa.Array) -> list[memoryview]:
+    offsets, data = buffers(column)
+    view = memoryview(data)
+    return [view[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int = 3000, blocks: int = 4000, size: int = 1 << 16) -> CompressionModel:
+    """Fits on at most `limit` labelled texts of each label, whole: dictionaries of `size` bytes on one half of them, from at
+    most `blocks` blocks a label (chosen by hash among all blocks of all these texts), and the calibration on the other half.
+
+    Blocks come to the driver, and of the other half one number a text. Null texts are empty; labels that are null or neither
+    0 nor 1 and null ids teach nothing; of a repeated id one text stands for all.
+    """
+    sample = stage(labelled_sample(docs, labels, label, learn, limit).repartition(F.col("doc_id")), "quality-sample")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
+
+    def cut(batches):
+        for batch in batches:
+            for doc_id, y, t in zip(longs(batch.column("doc_id")).tolist(), longs(batch.column("y")), _views(batch.column("text")), strict=True):
+                parts = [bytes(t[k : k + BLOCK]) for k in range(0, len(t), BLOCK)]
+                keys = [zlib.crc32(b"%d:%d" % (doc_id, k)) for k in range(len(parts))]
+                yield batch_of(BLOCKS, np.full(len(parts), y), keys, parts)
+
+    cutting = sample.filter(half == 0).select("doc_id", "y", "text").mapInArrow(cut, "y int, key long, block binary")
+    chosen = {y: [bytes(r.block) for r in cutting.filter(F.col("y") == y).orderBy("key", "block").limit(blocks).collect()] for y in (1, 0)}
+    model = CompressionModel(_dictionary(chosen[1], size), _dictionary(chosen[0], size))
+
+    def measured(batches):
+        for batch in batches:
+            yield batch_of(DIFFERENCES, batch.column("doc_id"), batch.column("y"), batch.column("weight"), model.differences(_views(batch.column("text"))))
+
+    rest = sample.filter(half == 1).select("doc_id", "y", "weight", "text").mapInArrow(measured, "doc_id long, y int, weight double, d double").collect()
+    unstage(sample)
+    rest.sort(key=tuple)
+    y = np.array([r.y for r in rest], float)
+    if len(set(y)) == 2:
+        model.weights = logistic(np.array([[r.d] for r in rest]), y, np.array([r.weight for r in rest]))
     return model
 
 
 def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """(doc_id, score) of every whole text; null is the empty text. Without labels of both kinds every score is 0.5."""
+    """(doc_id, score) of every row's whole text; null is the empty text, repeated rows and null ids are scored like any other.
+
+    The score is the calibrated size difference and nothing else. Without labels of both kinds every score is 0.5.
+    """
 
     def rows(batches):
         for batch in batches:
-            offsets, data = buffers(batch.column("text"))
-            view = memoryview(data)
-            yield batch_of(SCORED, batch.column("doc_id"), model.score([view[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]))
+            yield batch_of(SCORED, batch.column("doc_id"), model.score(_views(batch.column("text"))))
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, score double")
 
