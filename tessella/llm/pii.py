@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import documents
+from .common import documents, stage
 
 KINDS = ("email", "ip", "card", "phone")
 LABEL = "[A-Za-z0-9-]"
@@ -24,6 +24,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,6}){1,3}(?![0-9A-Za-z])"
 #: Gazetteer of words that announce personal data, and cues that stand right before it.
 GAZETTEER = "phone tel telephone mobile cell fax call whatsapp ssn passport account iban licence license birth dob born telefon handy konto ausweis geburtsdatum téléphone portable compte passeport né teléfono móvil cuenta pasaporte nacimiento".split()
+VOTES = "cast(array() as array<struct<start:int,end:int,votes:int>>)"
 LABELERS = ("shape", "gazetteer", "cue", "apart", "length")
 
 
@@ -77,15 +78,15 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def votes(docs: DataFrame) -> DataFrame:
     """`docs` (with base spans) and `_candidates`: start, end, and the votes of LABELERS (1 for, 0 against, -1 none) in one number.
 
-    Base spans are among the candidates, as examples whose format is certain.
+    Base spans are among the candidates, as examples whose format is certain. A null text has no candidates.
     """
     raw = F.coalesce(F.col("text"), F.lit(""))
     more = F.when(raw.rlike(r"[0-9]\)?[\x20./-][0-9]"), S.find(S.plain(raw), CANDIDATE)).otherwise(S.none())
     words = "|".join(GAZETTEER)
 
-    def vote(m, sure):
-        before = F.lower(F.substring(raw, F.greatest(m["start"] - 30, F.lit(0)) + 1, F.least(m["start"], F.lit(30))))
-        after = F.substring(raw, m["end"] + 1, F.lit(1))
+    def vote(m, sure, pieces):
+        before = F.lower(S.part(pieces, F.greatest(m["start"] - 30, F.lit(0)), m["start"]))
+        after = S.part(pieces, m["end"], m["end"] + 1)
         digits = F.length(F.regexp_replace(m["value"], "[^0-9]", ""))
         marks = (
             F.when(sure | m["value"].rlike(r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), 1).otherwise(0),
@@ -99,8 +100,9 @@ def votes(docs: DataFrame) -> DataFrame:
             number = number * 3 + v + 1
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), (number * 2 + sure.cast("int")).alias("votes"))
 
-    sure = F.transform(F.concat(*(F.col(f"_{k}") for k in KINDS)), lambda m: vote(m, F.lit(True)))
-    open_ = F.transform(S.apart(more, F.col("base")), lambda m: vote(m, F.lit(False)))
+    voted = lambda spans, sure: S.let(spans, lambda s: F.when(F.size(s) == 0, F.expr(VOTES)).otherwise(S.let(S.chunks(raw), lambda p: F.transform(s, lambda m: vote(m, F.lit(sure), p)))))
+    sure = voted(F.concat(*(F.col(f"_{k}") for k in KINDS)), True)
+    open_ = voted(S.apart(more, F.col("base")), False)
     return docs.withColumn("_open", open_).withColumn("_candidates", F.concat(sure, "_open"))
 
 
@@ -149,8 +151,16 @@ def classifier(counts: dict[int, int], post: dict[int, float], rounds: int = 400
 
 
 def train(docs: DataFrame) -> set[int]:
-    """The vote patterns that the final classifier takes for personal data, from the candidates of all documents."""
-    rows = votes(base_spans(docs)).select(F.explode("_candidates.votes").alias("votes")).groupBy("votes").count().collect()
+    """The vote patterns that the final classifier takes for personal data, from the candidates of all documents.
+
+    Null texts have none; repeated rows count each; null ids count like any other.
+    """
+    return accepted(votes(base_spans(docs)))
+
+
+def accepted(voted: DataFrame) -> set[int]:
+    """`train` from the rows of `votes`."""
+    rows = voted.select(F.explode("_candidates.votes").alias("votes")).groupBy("votes").count().collect()
     counts = {r.votes: r["count"] for r in rows}
     w = classifier(counts, reliabilities(counts))
     keep = set()
@@ -162,14 +172,20 @@ def train(docs: DataFrame) -> set[int]:
 
 
 def scan(docs: DataFrame, keep: set[int]) -> DataFrame:
-    """`docs` with `base` and `found` (base and model spans, kind "model"), each by kind, then start."""
-    out = votes(base_spans(docs))
+    """`docs` with `base` and `found` (base and model spans, kind "model"), each by kind, then start. A null text has none."""
+    return with_model(votes(base_spans(docs)), keep)
+
+
+def with_model(voted: DataFrame, keep: set[int]) -> DataFrame:
+    """The rows of `votes` with `found`."""
     model = F.filter(F.col("_open"), lambda m: m["votes"].isin(*sorted(keep)) if keep else F.lit(False))
-    return out.withColumn("found", F.concat("base", S.tagged(model, "model", len(KINDS))))
+    return voted.withColumn("found", F.concat("base", S.tagged(model, "model", len(KINDS))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = scan(docs, train(docs))
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(S.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), S.joined(F.col("found")).alias("spans"))
+    voted = votes(base_spans(documents(spark, sf_dir).select("doc_id", "text")))
+    # one scan of the texts: what it finds is written, without them
+    voted = stage(voted.select("doc_id", *counts, "base", "_open", "_candidates"), "personal")
+    out = with_model(voted, accepted(voted))
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(S.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), S.joined(F.col("found")).alias("spans"))
