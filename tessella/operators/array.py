@@ -110,7 +110,7 @@ class Lazy:
         return most_ranked(a, b)._of(self.session, plan)
 
     def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
-        if method != "__call__" or any(v is not None and v != (None,) for v in kwargs.values()):
+        if method != "__call__" or any(v is not None and not (isinstance(v, tuple) and all(x is None for x in v)) for v in kwargs.values()):
             return NotImplemented
         if ufunc in UFUNC_UNARY:
             return self._unary(UFUNC_UNARY[ufunc])
@@ -169,7 +169,7 @@ class Matrix(Lazy):
             return self.T
         axes = tuple(operator.index(a) % 2 if -2 <= operator.index(a) < 2 else 9 for a in axes)
         if sorted(axes) != [0, 1]:
-            raise ValueError("axes must be a permutation of (0, 1)")
+            raise ValueError("transpose takes the axes 0 and 1, each once")
         return self.T if axes == (1, 0) else self
 
     def _matmul(self, other: Any, reverse: bool):

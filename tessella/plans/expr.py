@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Any
@@ -30,12 +31,16 @@ class Expr:
 
     @cached_property
     def implicit(self) -> float | None:
-        """What a coordinate without a row holds: a zero, or None where every coordinate has a row."""
+        """What a coordinate without a stored row would hold, or None where every coordinate has one.
+
+        A value other than zero is kept, as a later operation may bring it back to zero (exp(A) - 1); such a matrix is
+        dense, and lowering enumerates it.
+        """
         return self._implicit()
 
     @property
     def storage(self) -> str:
-        return DENSE if self.implicit is None else SPARSE
+        return SPARSE if self.implicit == 0 else DENSE
 
     @cached_property
     def finite(self) -> bool:
@@ -61,13 +66,9 @@ class Expr:
         return {}
 
 
-def _zero_or_none(v: float) -> float | None:
-    return v if v == 0 else None
-
-
 @dataclass(frozen=True, eq=False)
 class Source(Expr):
-    frame: DataFrame
+    frame: DataFrame | Callable[[], DataFrame]  # a function is asked at each lowering: its rows may be replaced
     size: tuple[int, int]
     kind: str
     is_finite: bool = False
@@ -104,7 +105,7 @@ class Unary(Expr):
 
     def _implicit(self):
         v = self.x.implicit
-        return None if v is None else _zero_or_none(ieee.value(self.op, v))
+        return None if v is None else ieee.value(self.op, v)
 
     def fields(self):
         return {"op": self.op}
@@ -128,7 +129,7 @@ class ScalarBinary(Expr):
         v = self.x.implicit
         if v is None:
             return None
-        return _zero_or_none(ieee.value(self.op, *((self.scalar, v) if self.reverse else (v, self.scalar))))
+        return ieee.value(self.op, *((self.scalar, v) if self.reverse else (v, self.scalar)))
 
     def fields(self):
         return {"op": self.op, "scalar": special(self.scalar), "reverse": self.reverse}
@@ -162,7 +163,7 @@ class Binary(Expr):
         if self.scaling:
             return 0.0
         va, vb = self.a.implicit, self.b.implicit
-        return None if va is None or vb is None else _zero_or_none(ieee.value(self.op, va, vb))
+        return None if va is None or vb is None else ieee.value(self.op, va, vb)
 
     def fields(self):
         return {"op": self.op}

@@ -105,7 +105,8 @@ def apply(n: Expr, args: list[Column]) -> Column:
 def _base(n: Expr, frame) -> DataFrame:
     if isinstance(n, Source):
         x = F.col("x").cast("double")
-        return n.frame.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.coalesce(x, ieee.nan()).alias("x"))
+        df = n.frame() if callable(n.frame) else n.frame
+        return df.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.coalesce(x, ieee.nan()).alias("x"))
     if isinstance(n, Transpose):
         return frame(n.x).select(F.col("j").alias("i"), F.col("i").alias("j"), "x")
     if isinstance(n, Broadcast):
@@ -159,17 +160,18 @@ def _joined(n: Binary, frame) -> DataFrame:
         return _scaled(n, frame(values), factor, frame(factor.x))
     a = frame(n.a).withColumnRenamed("x", "a")
     b = frame(n.b).withColumnRenamed("x", "b")
-    va, vb = n.a.implicit, n.b.implicit
+    va, vb = (v.implicit if v.storage == SPARSE else None for v in (n.a, n.b))
     if va is None and vb is None:
         both = a.join(b, ["i", "j"])
     elif vb is not None and va is None:
         both = a.join(b, ["i", "j"], "left")
     elif va is not None and vb is None:
         both = b.join(a, ["i", "j"], "left")
-    elif n.storage == SPARSE:
-        both = a.join(b, ["i", "j"], "full")
-    else:
-        both = grid(a.sparkSession, n.shape).join(a, ["i", "j"], "left").join(b, ["i", "j"], "left")
+    else:  # one shuffle with partial aggregation; a coordinate has one row a side at most
+        none = F.lit(None).cast("double")
+        both = a.withColumn("b", none).unionByName(b.withColumn("a", none)).groupBy("i", "j").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+        if n.storage == DENSE:
+            both = grid(a.sparkSession, n.shape).join(both, ["i", "j"], "left")
     ca = F.col("a") if va is None else F.coalesce("a", F.lit(va))
     cb = F.col("b") if vb is None else F.coalesce("b", F.lit(vb))
     return both.select("i", "j", ieee.BINARY[n.op](ca, cb).alias("x"))
