@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import re
 from dataclasses import dataclass
@@ -24,11 +25,24 @@ class MatrixMarketHeader:
     """Lines up to and with the size line."""
 
 
+#: Bytes that lines before the entries may have: they must lie in the first part of the file that Spark deals out.
+HEADER_BYTES = 1 << 20
+
+
+def _lines(path: str):
+    """Lines of a plain or gzip-compressed file, as far as they are asked for; files of remote stores are read by Spark."""
+    if "://" in path and not path.startswith("file://"):
+        yield from (r.value for r in SparkSession.active().read.text(path).toLocalIterator())
+        return
+    path = path.removeprefix("file://")
+    with gzip.open(path, "rt") if path.endswith(".gz") else open(path) as f:
+        yield from f
+
+
 def read_matrix_market_header(path: str | Path) -> MatrixMarketHeader:
     """Reads the header of a plain or gzip-compressed file, and nothing after it."""
-    opened = gzip.open(path, "rt") if str(path).endswith(".gz") else open(path)
-    with opened as f:
-        words = f.readline().lower().split()
+    with contextlib.closing(_lines(str(path))) as f:
+        words = next(f, "").lower().split()
         if len(words) != 5 or words[:3] != ["%%matrixmarket", "matrix", "coordinate"]:
             raise ValueError("not a Matrix Market coordinate file")
         kind, symmetry = words[3:]
@@ -38,9 +52,11 @@ def read_matrix_market_header(path: str | Path) -> MatrixMarketHeader:
             raise ValueError(f"unsupported symmetry {symmetry!r}")
         if symmetry == "skew-symmetric" and kind == "pattern":
             raise ValueError("a pattern file cannot be skew-symmetric")
-        lines = 1
+        lines = length = 1
         for line in f:
-            lines += 1
+            lines, length = lines + 1, length + len(line.encode())
+            if length > HEADER_BYTES:
+                raise ValueError(f"the header has over {HEADER_BYTES} bytes")
             if not line.strip() or line.startswith("%"):
                 continue
             size = line.split()
@@ -58,7 +74,7 @@ def read_matrix_market_header(path: str | Path) -> MatrixMarketHeader:
 def entries(spark: SparkSession, path: str | Path, head: MatrixMarketHeader, canonical: bool) -> DataFrame:
     """(i, j, x), zero-based and checked: counts, syntax and bounds raise; `canonical` skips mirroring and summing.
 
-    Spark numbers lines within a partition, and the first split of the file is the first partition's first.
+    Spark numbers lines within a partition, and the first split of the file, of HEADER_BYTES at least, is the first partition's first.
     """
     if canonical and head.symmetry != "general":
         raise ValueError("a trusted file must be general")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -79,11 +78,16 @@ class Session:
             self._selectors.clear()
             self._frames.clear()
             for name, kind in self._names.items():
-                if kind == "made":
+                if kind != "table":
                     self.spark.catalog.dropTempView(name)
             for folder in self._folders:
-                if "://" not in folder or folder.startswith("file://"):
-                    shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+                self._remove(folder)
+
+    def _remove(self, folder: str) -> None:
+        """Deletes a folder of any store that Spark writes to."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
     def check_open(self) -> None:
         if self._closed:
@@ -194,16 +198,31 @@ class Session:
         return self._source(out, shape, _storage(storage), False, name)
 
     def from_mtx(self, path: str | Path, *, name: str | None = None, temporary: bool = False, overwrite: bool = False, assume_canonical: bool = False) -> Matrix:
-        """A sparse matrix from a Matrix Market file, checked as a whole and written before it gets its name."""
+        """A sparse matrix from a Matrix Market file, checked as a whole and written before it gets its name.
+
+        A named file becomes a table of Spark's catalog, which outlives the session, unless it is `temporary`; a temporary or
+        unnamed one goes with the session. `overwrite` replaces only what this method loaded in this session, and what
+        was there stays if the new file is rejected; matrices made from that name before read the new rows from then on.
+        """
         self.check_open()
         named = self._name(name, overwrite)
-        if overwrite and self._names.get(named, "mtx") not in ("mtx", "made-mtx"):
-            raise ValueError(f"{named!r} is not a loaded file and cannot be overwritten")
+        known = self._names.get(named)
+        if known not in (None, "table", "loaded") or known is None and self.spark.catalog.tableExists(named):
+            raise ValueError(f"{named!r} is not a file loaded by this session and cannot be overwritten")
         head = read_matrix_market_header(path)
+        shape = _shape((head.rows, head.columns))
         df = self._write(entries(self.spark, path, head, assume_canonical))
-        df.createOrReplaceTempView(named)
-        self._names[named] = "made-mtx"
-        return Matrix._of(self, E.Source(df, _shape((head.rows, head.columns)), E.SPARSE, False, named))
+        kind = "loaded" if temporary or name is None else "table"
+        if known and known != kind:
+            (self.spark.catalog.dropTempView if known == "loaded" else lambda t: self.spark.sql(f"DROP TABLE `{t}`"))(named)
+        if kind == "table":
+            df.write.mode("overwrite").saveAsTable(named)
+            self._remove(self._folders.pop())
+        else:
+            df.createOrReplaceTempView(named)
+        self._names[named] = kind
+        self._frames.clear()  # plans over the name are lowered anew
+        return Matrix._of(self, E.Source(lambda: self.spark.table(named), shape, E.SPARSE, False, named))
 
     def operand(self, values: Any):
         """A host array in an expression: a matrix, or a vector along the columns."""
@@ -232,13 +251,21 @@ class Session:
 
     def _folder(self) -> str:
         shared = self.temp_directory or self.spark.conf.get("spark.checkpoint.dir", None)
-        return f"{shared.rstrip('/')}/tessella-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessella-") + "/t"
+        if not shared:
+            known = self.spark.sparkContext._jsc.sc().getCheckpointDir()
+            shared = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessella-")  # local mode only
+        return f"{shared.rstrip('/')}/tessella-{uuid.uuid4().hex}"
 
     def _write(self, df: DataFrame) -> DataFrame:
         folder = self._folder()
         self._folders.append(folder)
         df.write.parquet(folder)
-        return self.spark.read.schema(SCHEMA).parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """`df` written to the session's folder and read again."""
+        self.check_open()
+        return self._write(df)
 
     def written(self, plan: E.Expr, name: str | None = None) -> E.Source:
         self.check_open()
@@ -247,7 +274,7 @@ class Session:
         if named:
             df.createOrReplaceTempView(named)
             self._names[named] = "made"
-        if plan.implicit is not None and np.signbit(plan.implicit):
+        if plan.storage == E.SPARSE and np.signbit(plan.implicit):
             return E.Unary("negative", E.Source(df.withColumn("x", -F.col("x")), plan.shape, plan.storage, False, named))
         return E.Source(df, plan.shape, plan.storage, False, named)
 
