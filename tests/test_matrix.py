@@ -1,15 +1,19 @@
 """Matrices against NumPy."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 
 import tessella as t
 from tessella.operators.array import REDUCERS, UFUNC_BINARY, UFUNC_UNARY, plan_json
+from tessella.workflow import normalize, normalize_frame
 
 INF, NAN = math.inf, math.nan
-EDGES = np.array([[-INF, -1000, -2, -1, -0.5, -1e-16, -0.0, 0.0], [1e-12, 0.5, 1, 2, 16, 1000, INF, NAN]])
+#: Where a function of ieee.py changes its rule or its result's kind, with both signs, and NaN.
+BOUNDS = [0.0, 2.0**-60, 2.0**-40, 0.25, 0.75, 1.0, 1.5, 3.0, 750.0, INF]
+EDGES = np.array([[*(-b for b in BOUNDS), NAN], [*BOUNDS, 2.5]])
 LEFT = np.array([[0.0, -0.0, 1, -1, INF, -INF, NAN], [2, -2, 0, 3, 1, -1, 0.25]])
 RIGHT = np.array([[0.0, 1, -0.0, INF, -INF, 2, 3], [NAN, -1, -3, 0, NAN, INF, -0.0]])
 
@@ -68,7 +72,9 @@ def test_storage_follows_the_image_of_zero(session):
 def test_pointwise_trees_over_one_source_have_no_join(session):
     m = sparse(session, np.eye(4))
     assert "Join" not in (np.sqrt(m * 2) + np.sin(m) * m).compile()
-    assert "Join" in (m + sparse(session, np.eye(4))).compile()
+    other = (m + sparse(session, np.eye(4))).compile()  # two sparse sources meet in one aggregate
+    assert "Union" in other and "Aggregate" in other
+    assert "Join" in (m + session.from_numpy(np.eye(4))).compile()
 
 
 def test_shared_values_stay_linear(session):
@@ -141,10 +147,61 @@ def test_reductions(session, case):
 
 
 def test_variance_of_extremes(session):
-    for a, want in (([[1e200, 1e200]], 0), ([[1e154, -1e154]], 1e154), ([[1e-200, -1e-200]], 1e-200), ([[1e12 + 1, 1e12]], 0.5)):
+    # two equal huge values, spreads whose squares over- and underflow, and an offset far above the spread
+    for a, want in (([[3e250, 3e250]], 0), ([[7e158, -7e158]], 7e158), ([[5e-190, -5e-190]], 5e-190), ([[2.0**45 + 3, 2.0**45]], 1.5)):
         np.testing.assert_allclose(session.from_numpy(np.array(a)).std(), want, rtol=1e-15)
-    m = session.from_coo([0], [0], [1e163], shape=(10**9, 10**9))
-    np.testing.assert_allclose(m.var(), 1e163 * 1e163 / 1e18 if 1e163 * 1e163 < INF else m.std() ** 2)
+    big, n = 4e159, 10**8
+    m = session.from_coo([0], [0], [big], shape=(n, n))
+    np.testing.assert_allclose(m.std(), big / n, rtol=1e-12)
+
+
+def test_values_of_absent_cells_are_kept_through_dense_steps(session):
+    a, b = np.array([[0, 1.5, 0], [2, 0, -1]]), np.array([[0, 0, 3.0], [1, 0, 0]])
+    m, n = sparse(session, a), sparse(session, b)
+    for got, want in ((np.exp(m) - 1, np.exp(a) - 1), ((m + 1) - 1, a), ((np.exp(m).T - 1), np.exp(a).T - 1), (np.exp(m) - np.exp(n), np.exp(a) - np.exp(b)), (np.cos(m)[1:, ::-1] - 1, np.cos(a)[1:, ::-1] - 1)):
+        assert got.storage == "sparse"
+        same(got.to_numpy(), want)
+    assert np.exp(m).storage == "dense" and (np.exp(m) * 2).compute().storage == "dense"
+    same((np.exp(m) + n).to_numpy(), np.exp(a) + b)
+    same((-1 - m * 0 + 1).compute().to_numpy(), np.zeros((2, 3)))
+
+
+def test_loaded_files_and_their_names(spark, tmp_path):
+    def file(name, v):
+        (tmp_path / name).write_text(f"%%MatrixMarket matrix coordinate real general\n2 2 1\n1 2 {v}\n")
+        return tmp_path / name
+
+    with t.Session(spark) as s:
+        kept = s.from_mtx(file("a.mtx", 4), name="kept_table")
+        gone = s.from_mtx(file("b.mtx", 5), name="gone_view", temporary=True)
+        s.from_mtx(file("c.mtx", 6), name="kept_table", overwrite=True)
+        assert kept.sum() == 6 and gone.sum() == 5  # a matrix over a name reads what the name holds now
+        with pytest.raises(ValueError):
+            s.from_mtx(file("d.mtx", "x"), name="gone_view", temporary=True, overwrite=True)
+        assert gone.sum() == 5
+        spark.range(3).createOrReplaceTempView("not_ours")
+        with pytest.raises(ValueError):
+            s.from_mtx(file("e.mtx", 7), name="not_ours", overwrite=True)
+        assert spark.table("not_ours").columns == ["id"]
+        with pytest.raises(ValueError):
+            s.from_mtx(file("f.mtx", 8), name="kept_table")
+        folders = [f.removeprefix("file://") for f in s._folders]
+    assert spark.table("kept_table").first().x == 6 and not spark.catalog.tableExists("gone_view")
+    assert folders and not any(os.path.exists(f) for f in folders)
+    spark.sql("DROP TABLE kept_table")
+    spark.catalog.dropTempView("not_ours")
+
+
+def test_workflow_on_the_cluster_equals_the_collected_one(session):
+    a = np.random.default_rng(4).poisson(0.4, (60, 12)).astype(float)
+    a[:, 3], a[7] = 0, 0
+    want = normalize(sparse(session, a))[0].to_numpy()
+    rows = normalize_frame(sparse(session, a)).collect()
+    got = np.zeros(want.shape)
+    for r in rows:
+        got[r.i, r.j] = r.x
+    np.testing.assert_allclose(got, want, rtol=1e-12)
+    assert normalize_frame(sparse(session, np.zeros((3, 4)))).count() == 0
 
 
 def test_reduction_options(session):

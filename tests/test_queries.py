@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tessella import edge_queries  # noqa: F401
 from tessella import queries as q
 
 DATA = os.environ.get("QUERY_DATA", "/root/testdata/sf0.001")
