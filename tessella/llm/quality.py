@@ -11,20 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, buffers, crc32_text, documents, longs, stage, table, unstage
-from .learn import labelled_sample, logistic
+from .learn import Isotonic, labelled_sample
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 BLOCKS = pa.schema([("y", pa.int32()), ("key", pa.int64()), ("block", pa.binary())])
 DIFFERENCES = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("weight", pa.float64()), ("d", pa.float64())])
 #: Bytes compressed at once, so that a dictionary counts as much at the end of a text as at its start.
 BLOCK = 2048
+#: Bytes added to a text's length, so that a few bytes of difference say little of a short text.
+SHORT = 32
 
 
 class CompressionModel:
-    """Two dictionaries and a logistic calibration; picklable, its compressors are made where it is used."""
+    """Two dictionaries and an isotonic calibration; picklable, its compressors are made where it is used."""
 
     def __init__(self, good: bytes, bad: bytes, level: int = 3):
-        self.good, self.bad, self.level, self.weights = good, bad, level, np.zeros(2)
+        self.good, self.bad, self.level, self.calibration = good, bad, level, Isotonic().fit(*[np.zeros(0)] * 3)
 
     def _sizes(self):
         out = []
@@ -37,20 +39,21 @@ class CompressionModel:
         return out
 
     def differences(self, texts) -> np.ndarray:
-        """For each UTF-8 text the normalised difference of its compressed sizes, bad less good, over all its blocks."""
+        """For each UTF-8 text the difference of its compressed sizes, bad less good, over all its blocks, for each byte of it.
+
+        Text that repeats itself compresses to little with either dictionary, so its difference is small beside its length.
+        """
         good, bad = self._sizes()
         out = np.zeros(len(texts))
         for n, t in enumerate(texts):
-            g = b = 1
             for k in range(0, len(t), BLOCK):
                 block = t[k : k + BLOCK]
-                g += len(good(block))
-                b += len(bad(block))
-            out[n] = (b - g) / (b + g)
+                out[n] += len(bad(block)) - len(good(block))
+            out[n] /= len(t) + SHORT
         return out
 
     def score(self, texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.differences(texts) * self.weights[0] + self.weights[1], -30, 30)))
+        return self.calibration.predict(self.differences(texts))
 
 
 def _dictionary(blocks: list[bytes], size: int) -> bytes:
@@ -96,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int = 30
     rest.sort(key=tuple)
     y = np.array([r.y for r in rest], float)
     if len(set(y)) == 2:
-        model.weights = logistic(np.array([[r.d] for r in rest]), y, np.array([r.weight for r in rest]))
+        model.calibration.fit(np.array([r.d for r in rest]), y, np.array([r.weight for r in rest]))
     return model
 
 
