@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, decontaminate, packing, pii, quality, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, packing, pii, quality, secret_scan, simhash, simhash_sql, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -47,8 +47,9 @@ _SYMBOLS = "symbols AS (SELECT doc_id, unnest(w) AS s, generate_subscripts(w, 1)
 _WORDS = _SYMBOLS.format(r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')")
 _BYTES = _SYMBOLS.format("regexp_extract_all(hex(encode(coalesce(text, ''))), '..')")
 _PLACE = "doc_id::HUGEINT * 4294967296 + p"
-#: Models, XXH64, tokenizers and tilings are beyond the SQL of the oracle, as are spans that models add; tests use brute force instead.
+#: Models, tokenizers and tilings are beyond the SQL of the oracle, as are spans that models add; tests use brute force instead.
 ORACLES: dict[str, str] = {
+    "op4_simhash_near_dedup": simhash_sql.oracle(),
     "op5_substring_dedup": f"""WITH {_WORDS}, {_runs(50, " ")}, {_covered("doc_id", "first < doc_id", 50)},
   found AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(s, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM covered GROUP BY 1)
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN found USING (doc_id)""",
