@@ -269,13 +269,13 @@ def _of_sets(docs: DataFrame, words: int, made) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, value binary")
 
 
-#: Bits of the largest bitmap.
-MOST_BITS = 1 << 14
+#: Bits of the least and of the largest bitmap.
+LEAST_BITS, MOST_BITS = 512, 1 << 14
 
 
-def bitmap(own: np.ndarray) -> bytes:
+def bitmap(own: np.ndarray, most: int = MOST_BITS) -> bytes:
     """Parities of a set's hashes in about 4 bits for each. Two bitmaps differ in no more bits than the sets have different hashes."""
-    size = min(MOST_BITS, max(512, 1 << (4 * len(own)).bit_length()))
+    size = min(most, max(LEAST_BITS, 1 << (4 * len(own)).bit_length()))
     return np.packbits(np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
@@ -384,32 +384,41 @@ def shared_prefixes(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(rows, ", ".join(f"{c} long" for c in PREFIXES.names))
 
 
-def _fit(size, at, root, x, y, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (x, y) of rows with unequal roots that may be similar by their sizes and the shingle's places in them.
+def _fit(size, at, root, bits, x, y, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x, y) of rows with unequal roots that may be similar by their sizes, the shingle's places in them and their bitmaps.
 
     The first shingle that two similar texts share leaves enough after it in both; so each such pair fits at one of its shingles.
     """
-    after = np.minimum(size[x] - at[x], size[y] - at[y])
-    near = (root[x] != root[y]) & (after >= share * (size[x] + size[y]) - 1e-6)
+    both, after = size[x] + size[y], np.minimum(size[x] - at[x], size[y] - at[y])
+    near = np.flatnonzero((root[x] != root[y]) & (after >= similarity / (1 + similarity) * both - 1e-6))
+    x, y = x[near], y[near]
+    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+    near = apart <= (1 - similarity) / (1 + similarity) * both[near] + 1e-6
     return x[near], y[near]
 
 
-def candidates(shared: DataFrame, roots: DataFrame, similarity: float, few: bool) -> DataFrame:
+def sketches(docs: DataFrame, shared: DataFrame, words: int) -> DataFrame:
+    """(doc_id, sketch): the least bitmap of each document in `shared`."""
+    some = docs.select("doc_id", "text").join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
+    return _of_sets(some, words, lambda own: bitmap(own, LEAST_BITS)).select("doc_id", F.col("value").alias("sketch")).dropDuplicates(["doc_id"])
+
+
+def candidates(shared: DataFrame, roots: DataFrame, sketched: DataFrame, similarity: float, few: bool) -> DataFrame:
     """(u, v) of documents of unequal roots that share a prefix shingle and may be that similar; each pair once.
 
     few: of each shingle's documents (by size) only neighbours and the first with each, and of these one pair for any two roots,
     which is linear in the rows and connects most of a crowd of copies. Else every pair.
     """
-    share = similarity / (1 + similarity)
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "u", "v")])
 
     def pairs(batches):
         for batch, starts in groups(batches, ["token"]):
             doc, root, size, at = (longs(batch.column(c)) for c in ("doc_id", "root", "size", "at"))
+            bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, LEAST_BITS // 64)
             ends = np.append(starts[1:], len(doc))
 
             def rows(x, y):
-                x, y = _fit(size, at, root, x, y, share)  # noqa: B023
+                x, y = _fit(size, at, root, bits, x, y, similarity)  # noqa: B023
                 swap = doc[x] < doc[y]  # noqa: B023
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
                 return batch_of(schema, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]), doc[x], doc[y])  # noqa: B023
@@ -424,12 +433,13 @@ def candidates(shared: DataFrame, roots: DataFrame, similarity: float, few: bool
             run = np.repeat(np.arange(len(starts)), ends - starts)
             last = np.searchsorted(run * float(1 << 40) + size, run * float(1 << 40) + size / similarity + 1e-6, side="right")
             count = np.maximum(0, last - np.arange(len(doc)) - 1)
-            for lo, hi in _portions(count, HELD):
+            for lo, hi in _portions(count, HELD >> 2):
                 n = count[lo:hi]
                 x = np.repeat(np.arange(lo, hi), n)
                 yield rows(x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n))
 
-    rooted = shared.join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    of = sketched.join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = shared.join(of, "doc_id")
     found = rooted.repartition("token").sortWithinPartitions("token", "size", "doc_id").mapInArrow(pairs, "a long, b long, u long, v long")
     if few:
         return found.groupBy("a", "b").agg(F.min(F.struct("u", "v")).alias("p")).select("p.*")
@@ -468,12 +478,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     roots = components(near)
     single = docs.select("doc_id", "text").join(texts.select("rep").distinct().toDF("doc_id"), "doc_id", "left_semi")
     shared = stage(shared_prefixes(_prefixes(single, words, similarity, common_shingles(docs, words))), "shared")
+    sketched = stage(sketches(single, shared, words), "sketches")
     for few in (True, False):
-        more = verified(candidates(shared, roots, similarity, few), docs, words, similarity)
+        more = verified(candidates(shared, roots, sketched, similarity, few), docs, words, similarity)
         grown = components(more.unionByName(roots.toDF("u", "v")))
         unstage(roots, more)
         roots = grown
-    unstage(shared, near, *found)
+    unstage(shared, sketched, near, *found)
     of = texts.join(roots, texts["rep"] == roots["node"], "left").select("t1", "t2", F.coalesce("root", "rep").alias("component_id"))
     return made.select("doc_id", "t1", "t2").join(of, ["t1", "t2"]).select("doc_id", "component_id")
 
