@@ -3,18 +3,22 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
+import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import ann, decontaminate, induced, packing, pii, quality, repeats, secret_scan, simhash, spans, substring_dedup, suffix_dedup, toxicity
+from tessella.llm import ann, decontaminate, encoding, induced, packing, pii, quality, queries, repeats, secret_scan, simhash, simhash_sql, spans, substring_dedup, suffix_dedup, toxicity
 from tessella.llm.components import components
-from tessella.llm.learn import Isotonic, Trees, logistic
+from tessella.llm.learn import Isotonic, Trees, labelled_sample, logistic
 
 WORDS = "the quick brown fox jumps over a lazy dog while many small birds sing in tall green trees near cold blue water".split()
 PASSAGE = " ".join(f"{w}{k}" for k, w in enumerate(WORDS * 4))
@@ -66,14 +70,15 @@ def test_simhash_components(docs, empty):
     assert simhash.near_duplicates(docs).count() == docs.count()
 
 
-def test_simhash_finds_every_link_of_three_bits(spark):
+@pytest.mark.parametrize("large", [2048, 9])
+def test_simhash_finds_every_link_of_three_bits(spark, large):
     rng = np.random.default_rng(0)
     centre = int(rng.integers(1 << 62))
     rows = {centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(150)}
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, k) for k, v in enumerate(sorted(rows))], "fp long, rep long")
     values = sorted(rows)
     want = components(spark.createDataFrame([(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 3], "u long, v long"))
-    got = components(simhash.links(df))
+    got = components(simhash.links(df, large=large))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
@@ -107,7 +112,27 @@ def test_verification_is_exact_for_long_texts(spark):
     want = {(u, v) for u, v in pairs if jaccard(text[u], text[v]) >= 0.8}
     assert 0 < len(want) < 40
     assert {tuple(r) for r in simhash.verified(spark.createDataFrame(pairs, "u long, v long"), df, 5, 0.8).collect()} == want
-    assert all((simhash.resemblance(*(np.unique(simhash.shingle_hashes(text[i].encode().split(), 5)).tobytes() for i in p)) >= 0.8) == (p in want) for p in pairs)
+
+
+def test_bitmaps_never_clear_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 100, 1000, 6000):
+        for m in (n, n * 9 // 10, n * 11 // 10, n // 3):
+            x, y = rng.integers(1 << 63, size=n, dtype=np.uint64), rng.integers(1 << 63, size=m, dtype=np.uint64)
+            y[: min(n, m) * 19 // 20] = x[: min(n, m) * 19 // 20]
+            x, y = np.unique(x), np.unique(y)
+            apart = len(np.setxor1d(x, y))
+            assert simhash.difference(simhash.bitmap(x), simhash.bitmap(y)) <= apart
+            assert (simhash.resemblance(x.tobytes(), y.tobytes()) >= 0.8) == (9 * apart <= len(x) + len(y))
+
+
+def test_shingles_are_those_of_the_text():
+    texts = ["a B c d e f", "", "  x\ty ", "a b c d e", "B c d e f", "a b c"]
+    raw = [t.encode() for t in texts]
+    h, bounds, whole = simhash.shingles(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])), 5)
+    assert np.diff(bounds).tolist() == [2, 0, 1, 1, 1, 1]
+    assert h[bounds[0]] == h[bounds[3]] and h[bounds[0] + 1] == h[bounds[4]] and len(set(h.tolist())) == 4
+    assert len({tuple(w) for w in whole.tolist()}) == 6
 
 
 def edited(rng, kind, words, share):
@@ -145,14 +170,20 @@ def test_common_shingles_change_no_result(spark):
     shared = [str(k) for k in range(60)]
     rows = [shared + [str(rng.randint(0, 10**6)) for _ in range(20)] for _ in range(30)]
     rows += [edited(rng, "append", w, 0.15) for w in rows]
-    df = spark.createDataFrame([(k, " ".join(w), k) for k, w in enumerate(rows)], "doc_id long, text string, root long")
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    none, alone = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), spark.createDataFrame([], "node long, root long")
     known = simhash.common_shingles(df, 5)
     assert len(known[0]) >= 56
+    want = {(b, a) for a, b in itertools.combinations(range(60), 2) if jaccard(" ".join(rows[a]), " ".join(rows[b])) >= 0.8}
     for common in (known, none):
-        pairs = simhash.shared_prefixes(simhash._prefixes(df, 5, 0.8, common), 0.8)
-        got = {(r.u, r.v) for r in simhash.verified(pairs, df, 5, 0.8).collect()}
-        assert got == {(b, a) for a, b in itertools.combinations(range(60), 2) if jaccard(" ".join(rows[a]), " ".join(rows[b])) >= 0.8}
+        index = simhash.shared_prefixes(simhash._prefixes(df, 5, 0.8, common))
+        sketched = simhash.sketches(df, index, 5)
+        pairs = simhash.candidates(index, alone, sketched, 0.8, False)
+        assert {(r.u, r.v) for r in simhash.verified(pairs, df, 5, 0.8).collect()} == want
+        few = simhash.candidates(index, alone, sketched, 0.8, True).collect()
+        assert len(few) <= 2 * index.count() and {(r.u, r.v) for r in few} <= {(r.u, r.v) for r in pairs.collect()}
+        rooted = spark.createDataFrame([(k, k % 30) for k in range(30, 60)], "node long, root long")
+        assert all(r.u % 30 != r.v % 30 for r in simhash.candidates(index, rooted, sketched, 0.8, False).collect())
 
 
 @pytest.mark.parametrize("few", [1 << 14, 1])
@@ -231,9 +262,9 @@ SECRETS = ["api_key = 'abc-def.ghi' token=token:abcdefgh secret=12345 PASSWORD:\
 def test_secrets(spark, docs, empty):
     df = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
     ordinary = "documentation configuration environment_manager background internationalization something_else_entirely " * 30
-    ratios = secret_scan.train(spark.createDataFrame([(k, ordinary) for k in range(20)], "doc_id long, text string"))
-    assert len(secret_scan.train(empty)) == secret_scan.SIZE**2
-    got = {r.doc_id: r for r in secret_scan.scan(df, ratios).select("doc_id", spans.joined(F.col("base")).alias("b"), spans.joined(F.col("found")).alias("f")).collect()}
+    model = secret_scan.train(spark.createDataFrame([(k, ordinary) for k in range(20)], "doc_id long, text string"))
+    assert len(secret_scan.train(empty).ratios) == secret_scan.SIZE**2 and secret_scan.train(empty).threshold == 10
+    got = {r.doc_id: r for r in secret_scan.scan(df, model).select("doc_id", spans.joined(F.col("base")).alias("b"), spans.joined(F.col("found")).alias("f")).collect()}
     for i, t in enumerate(SECRETS):
         t = t or ""
         want = [(m.start(), 0, "assign:%d:%d" % m.span()) for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
@@ -241,11 +272,11 @@ def test_secrets(spark, docs, empty):
         want += [(m.start(), 2, "hex:%d:%d" % m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         assert got[i].b == ",".join(x[2] for x in sorted(want))
     assert "markov:4:36" in got[3].f and "markov" not in got[0].f
-    masked = by_id(secret_scan.redact(df.withColumn("base", F.lit(5)), ratios))
+    masked = by_id(secret_scan.redact(df.withColumn("base", F.lit(5)), model))
     assert masked[3].text == "key [SECRET] end" and masked[3].base == 5 and masked[1].text is None and "bbbbbbb" not in masked[0].text and "deadbeef" not in masked[0].text
-    clean = by_id(secret_scan.redact(docs, ratios))
+    clean = by_id(secret_scan.redact(docs, model))
     assert [i for i, t in texts(docs) if clean[i].text != t] == [36]  # a long run of hexadecimal letters
-    assert secret_scan.scan(empty, ratios).count() == 0
+    assert secret_scan.scan(empty, model).count() == 0
 
 
 PRIVATE = ["a.b@c.d.e.. x@y a@b.c%x@d.e 1.2.3.4.5.6.7.8 256.1.1.1 01.002.3.4 4111 1111 1111 1111 +1 (555) 123-4567- +12 4111-1111-1111-1111-1", "\U0001f600 me@x.org 9" * 3, None, "", "x@" + "a." * 3000 + "b " + "1 " * 4000, "call tel: (555) 123-4567 today"]
@@ -336,6 +367,65 @@ def test_nearest_of_few(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_random_strings_are_told_from_identifiers(spark):
+    """Precision and recall of the spans that the models add, on labelled strings that no training text holds."""
+    rng = random.Random(12)
+    parts = "get set user account manager config value index count buffer stream handler error message token list parse build update remove".split()
+    name = lambda: rng.choice(["_", "", "-"]).join(rng.choice(parts).title() if rng.random() < 0.4 else rng.choice(parts) for _ in range(rng.randint(3, 5)))
+    train = [" ".join(name() for _ in range(80)) + " " + " ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(60)]
+    model = secret_scan.train(spark.createDataFrame(list(enumerate(train)), "doc_id long, text string"))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    alphabets = {"mixed": letters + "0123456789", "letters": letters, "lower": letters[26:] + "0123456789"}
+    rows, kinds = [], []
+    for kind, alphabet in alphabets.items():
+        for _ in range(200):
+            kinds.append((kind, "".join(rng.choice(alphabet) for _ in range(rng.randint(24, 40)))))
+    kinds += [("ordinary", name()) for _ in range(600)]
+    rows = [(k, f"see {t} here") for k, (_, t) in enumerate(kinds)]
+    found = by_id(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).select("doc_id", F.size("found").alias("n")))
+    share = {kind: np.mean([found[k].n > 0 for k, (o, _) in enumerate(kinds) if o == kind]) for kind in [*alphabets, "ordinary"]}
+    assert share["ordinary"] <= 0.01 and share["mixed"] >= 0.95 and share["letters"] >= 0.95 and share["lower"] >= 0.8, share
+
+
+def test_matches_are_those_of_re(spark):
+    rng = random.Random(9)
+    bits = ["token", "secret", "api_key", "=", ":", " ", "'", '"', "AKIA", "ABCDEFGHIJKLMNOPQRST", "abc123", "deadbeefcafe", "0123", "@", ".", "a", "-", "+", "(", ")", "4111111111111111", "1.2.3.4", "\x01", "é", "\U0001f600"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    luhn = lambda x: sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(x[::-1])) % 10 == 0
+    got = {r.doc_id: (r.s, r.p) for r in secret_scan.scan(df, secret_scan.Markov([0.0] * secret_scan.SIZE**2, 1.0)).join(pii.base_spans(df).select("doc_id", F.col("base").alias("pii")), "doc_id").select("doc_id", spans.joined(F.col("base")).alias("s"), spans.joined(F.col("pii")).alias("p")).collect()}
+    for i, t in rows:
+        want = [(m.start(), 0, "assign:%d:%d" % m.span()) for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
+        want += [(m.start(), 1, "access:%d:%d" % m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [(m.start(), 2, "hex:%d:%d" % m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        other = ["email:%d:%d" % m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        other += ["ip:%d:%d" % m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        other += ["card:%d:%d" % m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+        other += ["phone:%d:%d" % m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+        assert got[i] == (",".join(x[2] for x in sorted(want)), ",".join(other)), t
+
+
+def test_a_long_text_of_matches_takes_bounded_time(spark):
+    """A megabyte of addresses, of assignments and of numbers that are candidates, one after another."""
+    texts = [x * (1_000_000 // len(x)) for x in ("10.20.30.40 ", "token=abcdef123 ", "tel: 030 123456, ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    began = time.time()
+    rows = {r.doc_id: r for r in pii.votes(pii.base_spans(df)).select("doc_id", F.size("base").alias("n"), F.size("_open").alias("m")).collect()}
+    assert rows[0].n == 1_000_000 // 12 and rows[2].m == 1_000_000 // 17
+    masked = secret_scan.redact(df, secret_scan.Markov([0.0] * secret_scan.SIZE**2, 1.0), "*").collect()
+    assert masked[1].text == "* " * (1_000_000 // 16) and masked[0].text == texts[0]
+    assert time.time() - began < 240
+
+
+def test_masks_join_where_spans_overlap(spark):
+    df = spark.createDataFrame([("ab" * 5000,)], "text string")
+    at = [(0, 3), (2, 6), (6, 8), (4090, 4100), (4095, 9000), (9999, 10000)]
+    found = F.expr("array(" + ", ".join(f"named_struct('start', {a}, 'rank', 0, 'end', {b}, 'kind', 'k')" for a, b in at) + ")")
+    t = "ab" * 5000
+    assert df.select(spans.masked(F.col("text"), found, "#")).first()[0] == "##" + t[8:4090] + "#" + t[9000:9999] + "#"
+
+
 def test_personal_data_beyond_fixed_shapes(spark):
     sure = [f"call tel: +1 (555) 123-{4000 + k}" for k in range(30)]
     local = ["Telefon: 030 123456", "Tel: 0612 345 678", "Konto: 12345 67890"] * 10
@@ -348,7 +438,7 @@ def test_personal_data_beyond_fixed_shapes(spark):
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, PASSAGE), (2, "too short"), (3, None), (None, PASSAGE), (4, "never seen words here at all in any document of ours")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs, items).collect()}
-    assert got == {(i, 1): 1.0 for i in (27, 28, 29, 38, None)}
+    assert got == {(i, k): 1.0 for i in (27, 28, 29, 38, None) for k in (1, None)}
     half = PASSAGE.split()
     swapped = spark.createDataFrame([(9, " ".join(half[40:] + ["between"] + half[:40]))], "doc_id long, text string")
     row = decontaminate.contaminated(swapped, items).first()
@@ -359,22 +449,146 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
-def test_tiles_do_not_overlap():
+def tiled(a, b, seed):
+    """Greedy string tiling as it is defined, all matches tried at each step."""
+    in_a, in_b, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in in_a and j + n not in in_b:
+                n += 1
+            best = (n, i, j) if n > best[0] else best
+        if best[0] < seed:
+            return out
+        n, i, j = best
+        out.append((i, j, n))
+        in_a.update(range(i, i + n))
+        in_b.update(range(j, j + n))
+
+
+def test_tilings_are_those_of_the_definition():
+    rng = random.Random(1)
+    for _ in range(60):
+        letters, seed = rng.choice(["ab", "a", "abc", "abcdef"]), rng.choice([2, 3, 5])
+        texts, given = ([[rng.choice(letters) for _ in range(rng.randint(0, n))] for _ in range(3)] for n in (30, 20))
+        items = decontaminate.Items([0, 1, 2], [" ".join(x) for x in given], seed)
+        raw = [" ".join(x).encode() for x in texts]
+        h, bounds = decontaminate.grams_of(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])), seed)
+        t, k, x, y, n = items.runs(h, bounds)
+        for u, v in itertools.product(range(3), range(3)):
+            own = (t == u) & (k == v)
+            assert decontaminate.tile(x[own], y[own], n[own], seed) == tiled(texts[u], given[v], seed)
+
+
+@pytest.mark.parametrize("period", [1, 2, 7])
+def test_repeated_tokens_are_tiled_in_time(period):
+    words = [f"w{k}" for k in range(period)]
+    text, item = (" ".join((words * n)[:n]) for n in (100_000, 1000))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    began = time.time()
+    assert list(decontaminate._tilings(raw, np.array([0, len(raw)]), decontaminate.Items([1], [item], 5), 0.8)) == [(0, 0, 1000, 1)]
+    assert time.time() - began < 20
+
+
+def test_scores_depend_on_their_text_alone(spark):
+    train, labels = labelled(spark)
+    rng = random.Random(2)
+    words = [*WORDS, "you", "idiot", "BUY!!", "cl0wn", "you", "###"]
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 14))) for _ in range(120)] + ["idiot x x you x", "you", "idiot", "ends with you", "idiot starts"]
+    learn = F.lit(True)
+    for module, label in ((toxicity, "toxic"), (quality, "quality")):
+        model = module.train(train, labels, label, learn)
+        seen = []
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame([(rows.index(t), t) for t in order], "doc_id long, text string").coalesce(1)
+            seen.append({r.doc_id: r.score for r in module.score(df, model).collect()})
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        seen.append({r.doc_id: r.score for r in module.score(df, model).collect()})
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        assert seen[0] == seen[1] == seen[2]
+
+
+def features_of(texts):
+    raw = [t.encode() for t in texts]
+    return toxicity.features(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])), toxicity.Lexicon(np.array([toxicity._code("idiot")])))
+
+
+def test_address_is_near_within_a_text_only():
+    near = lambda *t: features_of(t)[:, 3].tolist()
+    assert near("idiot x x you x") == near("x " * 9 + "idiot x x you x") == [1]
+    assert near("what do you", "idiot he is", "you a b c d e idiot") == [0, 0, 0] and near("you a b c d idiot") == [1]
+
+
+def test_sample_has_one_text_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1), (9, 1)], "doc_id long, y int")
+    rows = [labelled_sample(d, labels, "y", F.lit(True), 10).collect() for d in (docs, docs.orderBy(F.desc("text")))]
+    assert sorted(map(tuple, rows[0])) == sorted(map(tuple, rows[1])) and sorted(r.doc_id for r in rows[0]) == [1, 2, 3]
+
+
+def test_encoding_is_that_of_the_tokenizer_file():
+    of = encoding.Encoder(encoding.default_tokenizer())
+    assert of.cut
     rng = random.Random(3)
-    for _ in range(50):
-        a, b = [rng.randint(0, 2) for _ in range(30)], [rng.randint(0, 2) for _ in range(20)]
-        seeds = [(i, j) for i in range(28) for j in range(18) if a[i : i + 3] == b[j : j + 3]]
-        tiles = decontaminate.tile(np.array([s[0] for s in seeds], int), np.array([s[1] for s in seeds], int), 3) if seeds else []
-        for side in (0, 1):
-            places = [t[side] + k for t in tiles for k in range(t[2])]
-            assert len(places) == len(set(places))
-        assert all(a[t[0] : t[0] + t[2]] == b[t[1] : t[1] + t[2]] for t in tiles)
+    bits = [*"ab 1\n\t\r.,'sZ9|<é中😀\x1c\x00", "  ", "\u00a0", "\u3000", "\u2003", "\u0085", "\u200b", "<|endoftext|>", " 's", " 'll", "word", "Straßenbahnhaltestellenschild"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(20_000)] + ["x" * 50_000, " " * 3000, ""]
+    want = [e.ids for e in of.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for table in (encoding.SLOTS, 64):  # a full table changes no ids
+        of.table = of.table[:table]
+        monkey = encoding.SLOTS
+        encoding.SLOTS = table
+        try:
+            raw = [t.encode() for t in texts[-4000:] if table > 64 or len(t) < 1000]
+            ids, bounds = of.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+        finally:
+            encoding.SLOTS = monkey
+        got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [w for w, t in zip(want[-4000:], texts[-4000:], strict=True) if table > 64 or len(t) < 1000]
+
+
+def test_neighbours_join_in_the_order_of_bm25():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 40, rng.integers(3, 30)).astype(np.uint16) for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=40)
+    idf, mean = np.log1p((60 - df + 0.5) / (df + 0.5)), np.mean([len(x) for x in docs])
+
+    def bm25(query, x):
+        return sum(idf[t] * np.sum(x == t) * 2.2 / (np.sum(x == t) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in set(query.tolist()))
+
+    packer = packing.Packer(idf, mean, 64, 0)
+    bounds = np.append(0, np.cumsum([len(x) for x in docs]))
+    packer.shard(list(range(60)), np.concatenate(docs), bounds, np.zeros(60, np.int64), np.diff(bounds))
+    packer.finish()
+    left, place = {k: len(x) for k, x in enumerate(docs)}, 0
+    windows = [list(g) for _, g in itertools.groupby(packer.out, key=lambda r: r[5])]
+    for w in windows:
+        if sum(r[2] for r in w) < 64:
+            break
+        seed = w[0][0]
+        assert left[seed] == max(left.values())
+        query = docs[seed][len(docs[seed]) - left[seed] :]
+        room, want = 64 - left[seed], [(seed, left[seed])]
+        left[seed] = 0
+        near = sorted((k for k in left if left[k]), key=lambda k: (-round(bm25(query, docs[k]), 9), k))
+        for k in near:
+            if left[k] <= room and room:
+                want.append((k, left[k]))
+                room -= left[k]
+                left[k] = 0
+        if room:
+            k = next(k for k in near if left[k])
+            want.append((k, room))
+            left[k] -= room
+        assert [(r[0], r[2]) for r in w] == want
+        place += 1
+    assert place >= 10
 
 
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(packing.default_tokenizer())
+    slow = Tokenizer.from_file(encoding.default_tokenizer())
     rows = packing.pack(docs, shard=8).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -426,3 +640,24 @@ def test_pipeline_rejects_what_operator_9_marks(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda *a: None)
     monkeypatch.setattr(toxicity, "score", lambda d, m, *keep, name: d.withColumn(name, F.col("s")))
     assert [r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, "").orderBy("doc_id").collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    folder = os.environ.get("QUERY_DATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    df = queries.QUERIES[name](spark, folder)
+    columns = sorted(df.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(want)
+
+
+def test_hash_in_sql():
+    texts = ["", "a", "abcd", "abcdefgh", "abcdefghijk", "x" * 31, "y" * 32, "é" * 20, "z" * 77, "q" * 200, "ab cd ef"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE grams AS SELECT unnest(?) AS g", [texts])
+    got = dict(con.execute(f"WITH {simhash_sql.xxh64(42)} SELECT g, x FROM hashed").fetchall())
+    assert got == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
