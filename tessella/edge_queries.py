@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import errors
@@ -216,13 +216,24 @@ def relation_nulls(spark, d):
 
 @_query("parquet_scan", _QTY)
 def parquet_scan(spark, d):
-    """Two coordinate files of narrow types, read as one matrix."""
-    s, folder = Session(spark), Session(spark)._folder()
-    rows = quantity(s, d).to_frame().select(F.col("i").cast("int"), F.col("j").cast("smallint"), F.col("x").cast("float"))
-    paths = [f"{folder}/{name}" for name in ("even", "odd")]
-    for k, p in enumerate(paths):
-        rows.filter(F.col("i") % 2 == k).write.parquet(p)
-    return s.from_parquet(paths, shape=(_table(spark, d, "part").count(), _table(spark, d, "supplier").count())).to_frame()
+    """Two coordinate files of narrow types, and one of wide types for keys that do not fit those, read as one matrix.
+
+    Files are told by keys alone, so that each aggregates its own rows only; one whose values are no floats has doubles.
+    """
+    s = Session(spark)
+    rows, folder = quantity(s, d).to_frame(), s._folder()
+    i, j, x = map(F.col, "ijx")
+    fits = i.between(-(2**31), 2**31 - 1) & j.between(-(2**15), 2**15 - 1)
+    file = F.when(~fits, "wide").when(i % 2 == 0, "even").otherwise("odd")
+    paths = {name: f"{folder}/{name}" for name in ("even", "odd", "wide")}
+    rows.filter(file == "wide").write.parquet(paths["wide"])
+    for name in ("even", "odd"):
+        seen, keys = Observation(), (i.cast("int"), j.cast("smallint"))
+        cells = rows.filter(file == name)
+        cells.observe(seen, F.count_if(~x.cast("float").eqNullSafe(x)).alias("rounded")).select(*keys, x.cast("float")).write.parquet(paths[name])
+        if seen.get["rounded"]:
+            cells.select(*keys, x).write.mode("overwrite").parquet(paths[name])
+    return s.from_parquet(list(paths.values()), shape=(_table(spark, d, "part").count(), _table(spark, d, "supplier").count())).to_frame()
 
 
 def _file(s: Session, lines: list[str]) -> str:

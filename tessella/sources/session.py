@@ -24,6 +24,7 @@ from ..plans.lower import lower
 from .mtx import entries, read_matrix_market_header
 
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+:/")
 SCHEMA = T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("x", T.DoubleType())])
 
 
@@ -189,7 +190,7 @@ class Session:
         if not paths or len(set(paths)) != len(paths):
             raise ValueError("paths must be given once each, one at least")
         for p in paths:
-            if "://" not in p and not Path(p).exists():
+            if not SCHEME.match(p) and not Path(p).exists():
                 raise FileNotFoundError(p)
         frames = [_checked(self.spark.read.parquet(p)) for p in paths]
         out = frames[0]
